@@ -6,36 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_jaccard
+from tessera.llm import backoff_scores, ngram_jaccard
 from tessera.llm._shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores.scores(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_pairs(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
-WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), x -> x != '')"
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x != '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_lm_scoring": f"""
+WITH w AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS v FROM w WHERE len(w) > 0),
+c1 AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+t AS (SELECT count(*) AS n FROM p),
+s AS (
+  SELECT p.doc_id, CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(cv.n)
+                        ELSE ln(cw.n) - ln(t.n) + CASE WHEN p.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM p CROSS JOIN t JOIN c1 cw ON p.w = cw.w LEFT JOIN c2 ON p.v = c2.v AND p.w = c2.w LEFT JOIN c1 cv ON p.v = cv.w)
+SELECT doc_id, count(*) AS n_tokens, round(sum(s), 3) AS log_score, round(sum(s) / count(*), 6) AS mean_log_score
+FROM s GROUP BY doc_id""",
     "op7_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])
-                                      WHEN len(w) = 1 THEN [w[1]] ELSE CAST([] AS VARCHAR[]) END) AS gram
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) >= 1 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS gram
   FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 h AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both
   FROM g a JOIN s x ON a.doc_id = x.doc_id JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id JOIN s y ON b.doc_id = y.doc_id
-  WHERE least(x.n, y.n) >= 0.7 * greatest(x.n, y.n) - 1e-9
+  WHERE least(x.n, y.n) >= 0.65 * greatest(x.n, y.n) - 1e-9
   GROUP BY 1, 2)
 SELECT doc_a, doc_b, both / CAST(x.n + y.n - both AS DOUBLE) AS jaccard
 FROM h JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id
-WHERE both >= 0.7 / 1.7 * (x.n + y.n) - 1e-9""",
+WHERE both >= 0.65 / 1.65 * (x.n + y.n) - 1e-9""",
 }
