@@ -5,8 +5,8 @@ similarity t or more share a gram among the first |x| - ceil(t |x|) + 1 of each.
 of all grams of the corpus over a fixed number of hash cells: how well it tells rare from frequent decides only
 how many candidates arise, never which pairs are found. Sets that are equal are joined once and expanded at the
 end. Candidates come from an equi-join on prefix grams under the length and positional filters; a pair goes
-on from the first of its common prefix grams as far as two carried predecessors tell, is made distinct, and is
-verified once, a suffix filter on counts by hash cell going before the exact intersection.
+on from the first of its common prefix grams as far as two carried predecessors tell, and is made distinct. A suffix
+filter compares counts of grams by hash range, which are a sixteenth as large as the sets; what passes is verified once by exact intersection.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from tessera.llm import _hashing as H
 from tessera.llm._shared import written
 
-N, THRESHOLD = 2, 0.7
+N, THRESHOLD = 3, 0.65
 CELL_BITS, CHUNK_BITS = 22, 16
 #: Candidates' documents are found by a bit array of at most so many bits; if they are more, by the join alone.
 FILTER_BITS = 1 << 27
+#: So many ids of exact copies at most are broadcast to leave them out; if they are more, by a join.
+BROADCAST_IDS = 4_000_000
 PAIRS_PER_GROUP = 20_000
 
 
@@ -34,20 +36,36 @@ def _as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def histogram(docs: DataFrame, n: int) -> np.ndarray:
-    """For each hash cell the logarithm, in 256 steps, of the number of grams of all documents in it."""
+def _survey(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over all texts: a fingerprint (m1, m2, size) of each document's set, and each task's counts of grams by hash cell."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+        names = ["doc_id", "m1", "m2", "size", "chunk", "cells"]
         for batch in batches:
-            for _, part in H.pieces(batch.column(0)):
-                sets = [s for s in H.ngram_sets(part, n) if len(s)]
-                if sets:
+            for first, part in H.pieces(batch.column(1)):
+                sets = list(H.ngram_sets(part, n))
+                lens = np.array([len(s) for s in sets])
+                marks = np.zeros((2, len(sets)), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for i, s in enumerate(sets):
+                        marks[:, i] = s.sum(), H.mix(s).sum()
+                if lens.any():
                     cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                none = pa.nulls(len(sets))
+                arrays = [batch.column(0).slice(first, len(sets)), pa.array(_as_signed(marks[0])), pa.array(_as_signed(marks[1])), pa.array(lens.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(lens > 0))
         pack = zstandard.ZstdCompressor(level=1)
         for k, part in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], ["chunk", "cells"])
+                none = pa.nulls(1)
+                yield pa.RecordBatch.from_arrays([*(none.cast(pa.int64()) for _ in range(3)), none.cast(pa.int32()), pa.array([k], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(survey, "doc_id long, m1 long, m2 long, size int, chunk int, cells binary")
+
+
+def _histogram(survey: DataFrame) -> np.ndarray:
+    """For each hash cell the logarithm, in at most 256 steps, of the number of grams of all documents in it."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << CHUNK_BITS, dtype=np.uint64)
@@ -56,71 +74,39 @@ def histogram(docs: DataFrame, n: int) -> np.ndarray:
         steps = np.minimum(255, np.round(np.log2(1 + total.astype(float)) * 6)).astype(np.uint8)
         return pd.DataFrame({"chunk": pdf["chunk"][:1], "cells": [steps.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, cells binary").groupBy("chunk").applyInPandas(add, "chunk int, cells binary").collect()
     cells = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-    for k, blob in parts:  # at most 2 ** CELL_BITS bytes, whatever the input
-        cells[k << CHUNK_BITS : (k + 1) << CHUNK_BITS] = np.frombuffer(blob, dtype=np.uint8)
+    for k, blob in survey.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInPandas(add, "chunk int, cells binary").collect():
+        cells[k << CHUNK_BITS : (k + 1) << CHUNK_BITS] = np.frombuffer(blob, dtype=np.uint8)  # 2 ** CELL_BITS bytes in all, whatever the input
     return cells
 
 
-def _classes(docs: DataFrame, n: int, t: float, cells: np.ndarray) -> DataFrame:
-    """A row for each distinct set of grams: its documents, its size and its prefix, rare grams first."""
+def _postings(docs: DataFrame, n: int, t: float, cells: np.ndarray) -> DataFrame:
+    """gram, rep, place (size * 2**32 + position), the two grams before it in the prefix as 32 bits each; rare grams come first."""
     shared = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for first, part in H.pieces(batch.column(1)):
-                sets = list(H.ngram_sets(part, n))
-                out, marks = [], np.zeros((len(sets), 2), dtype=np.uint64)
-                for i, s in enumerate(sets):
-                    if len(s):
-                        order = np.argsort(cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-                        keep = len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1
-                        out.append(s[order[:keep]])
-                        with np.errstate(over="ignore"):
-                            marks[i] = s.sum(), H.mix(s).sum()
-                    else:
-                        out.append(s)
-                lens = np.array([len(s) for s in sets])
-                grams = np.concatenate(out) if out else np.zeros(0, np.uint64)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                arrays = [
-                    batch.column(0).slice(first, len(sets)),
-                    pa.array(_as_signed(marks[:, 0].copy())),
-                    pa.array(_as_signed(marks[:, 1].copy())),
-                    pa.array(lens.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(_as_signed(grams))),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "m1", "m2", "size", "prefix"]).filter(pa.array(lens > 0))
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(prefixes, "doc_id long, m1 long, m2 long, size int, prefix array<long>")
-    return rows.groupBy("m1", "m2", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("prefix").alias("prefix"))
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """gram, rep, place (size * 2**32 + position), the two grams before it in the prefix as 32 bits each."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
-                lists = b.column(2)
-                g = lists.flatten().to_numpy().view(np.uint64)
-                n = np.diff(lists.offsets.to_numpy())
-                at = np.concatenate([[0], np.cumsum(n)])[:-1]
-                pos = np.arange(len(g)) - np.repeat(at, n)
+                out, size = [], []
+                for s in H.ngram_sets(part, n):
+                    order = np.argsort(cells[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
+                    out.append(s[order[: len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1]])
+                    size.append(len(s))
+                k = np.array([len(x) for x in out])
+                g = np.concatenate(out)
+                pos = np.arange(len(g)) - np.repeat(np.cumsum(k) - k, k)
                 low = g & np.uint64(0xFFFFFFFF)
-                one = np.where(pos >= 1, np.roll(low, 1), 0)
-                two = np.where(pos >= 2, np.roll(low, 2), 0)
-                place = np.repeat(b.column(1).to_numpy().astype(np.int64), n) << 32 | pos
-                yield pa.RecordBatch.from_arrays([pa.array(_as_signed(g)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(place), pa.array(_as_signed(one << np.uint64(32) | two))], ["gram", "rep", "place", "before"])
+                one, two = np.where(pos >= 1, np.roll(low, 1), 0), np.where(pos >= 2, np.roll(low, 2), 0)
+                place = np.repeat(np.array(size, dtype=np.int64), k) << 32 | pos
+                ids = np.repeat(batch.column(0).slice(first, len(k)).to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(_as_signed(g)), pa.array(ids), pa.array(place), pa.array(_as_signed(one << np.uint64(32) | two))], ["gram", "rep", "place", "before"])
 
-    return classes.select("rep", "size", "prefix").mapInArrow(explode, "gram long, rep long, place long, before long")
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(prefixes, "gram long, rep long, place long, before long")
 
 
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b), a < b, each once, with the least of the grams at which it came up."""
+    """Pairs (a, b), a < b, each once."""
     a = postings.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "place", "before")))
     b = postings.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "place", "before")))
     size = {s: F.shiftright(f"place_{s}", 32) for s in "ab"}
@@ -131,11 +117,58 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
     need = F.ceil(F.lit(t / (1 + t)) * (size["a"] + size["b"]) - F.lit(1e-9))
     fits = (F.least(size["a"], size["b"]) >= F.lit(t) * F.greatest(size["a"], size["b"]) - F.lit(1e-9)) & (F.least(size["a"] - pos["a"], size["b"] - pos["b"]) >= need)
     seen = ((one["a"] != 0) & ((one["a"] == one["b"]) | (one["a"] == two["b"]))) | ((two["a"] != 0) & ((two["a"] == two["b"]) | (two["a"] == one["b"])))
-    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.min("gram").alias("gram"))
+    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def _bins(grams: np.ndarray) -> bytes:
+    """Counts of the grams by hash range, about as many ranges as grams, in four bits each; nothing if a count needs more."""
+    k = max(4, int(np.round(np.log2(max(1, len(grams))))))
+    n = np.bincount((grams >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return b"" if n.max() > 15 else (n[0::2] << 4 | n[1::2]).astype(np.uint8).tobytes()
+
+
+def _unbin(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8)
+    return np.stack([x >> 4, x & 15], axis=1).ravel()
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rep, grams) of the wanted documents; most others are left out before the shuffle by a bit array, if that is small."""
+def _most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound on what two sets share, from their counts by range: the suffix filter."""
+    if not len(x) or not len(y):
+        return 1 << 62
+    while len(x) > len(y):
+        x = x[0::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] + y[1::2]
+    return int(np.minimum(x, y).sum())
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of each gram; at two thousand grams a pair shares a false one with a probability of four in a million."""
+    return np.sort(grams >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.int64).ravel()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact: bool) -> DataFrame:
+    """Of pairs (a, b, group) those that pass the suffix filter, or, if exact, those that are similar.
+
+    What each group needs of its documents is made from their texts. Most other documents are left out before
+    the shuffle by a bit array, as long as that is small.
+    """
+    wanted = written(pairs.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct(), "ngram-wanted")
     n_wanted = wanted.count()
     bits = 1 << max(10, int(np.ceil(np.log2(16 * max(1, n_wanted)))))
     shared = None
@@ -147,60 +180,61 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(words.tobytes())
     cell = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared is not None:
                 words, at = np.frombuffer(shared.value, dtype=np.int64), batch.column(2).to_numpy()
                 batch = batch.filter(pa.array((words[at >> 6] >> (at & 63)) & 1 == 1))
             for first, part in H.pieces(batch.column(1)):
                 sets = list(H.ngram_sets(part, n))
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                g = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.ListArray.from_arrays(pa.array(at), pa.array(_as_signed(g)))], ["rep", "grams"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", cell.alias("cell")).where("rep is not null").mapInArrow(grams, "rep long, grams array<long>")
-    return wanted.join(found, "rep").where(F.size("grams") > 0)
+                data = pa.array([_packed(s) if exact else _bins(s) for s in sets], pa.binary())
+                size = np.array([len(s) for s in sets], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(size), data], ["rep", "size", "data"]).filter(pa.array(size > 0))
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        of: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for rep, size, data in zip(right["rep"].to_pylist(), right["size"].to_pylist(), right["data"].to_pylist()):
+            of.setdefault(rep, []).append((size, _unpacked(data) if exact else _unbin(data)))
+        a, b, j = left["a"].to_pylist(), left["b"].to_pylist(), np.zeros(left.num_rows)
+        for k in range(left.num_rows):
+            for n_x, x in of.get(a[k], ()):
+                for n_y, y in of.get(b[k], ()):
+                    both = _common(x, y) if exact else _most_common(x, y)
+                    if both >= threshold / (1 + threshold) * (n_x + n_y) - 1e-9:
+                        j[k] = max(j[k], both / max(1, n_x + n_y - both) if exact else 1.0)
+        keep = pa.array(j > 0)
+        return pa.table({"a": left["a"].filter(keep), "b": left["b"].filter(keep), "group": left["group"].filter(keep), "jaccard": pa.array(j).filter(keep)})
+
+    data = wanted.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text", cell.alias("cell")).where("rep is not null").mapInArrow(make, "rep long, size int, data binary"), "rep")
+    return written(pairs.groupBy("group").cogroup(data.groupBy("group")).applyInArrow(check, "a long, b long, group int, jaccard double"), "ngram-checked")
+
+
+def _in_groups(candidates: DataFrame) -> DataFrame:
+    """(a, b, group): pairs of one neighbourhood come together, so that few groups need the same document; large ones are divided."""
+    ends = candidates.select(F.col("a").alias("x"), "a").unionByName(candidates.select(F.col("b").alias("x"), "a"))
+    least = ends.groupBy("x").agg(F.min("a").alias("label"))
+    labelled = candidates.join(least.withColumnRenamed("x", "a"), "a")
+    sizes = labelled.groupBy("label").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).alias("parts"))
+    groups = max(1, -(-candidates.count() // PAIRS_PER_GROUP))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    return labelled.join(sizes, "label").select("a", "b", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("group"))
 
 
 def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): classes (rep, ids) of documents with equal sets of grams; pairs (a, b, jaccard) of representatives."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    classes = written(_classes(docs, n, threshold, histogram(docs, n)), "ngram-classes")
-    candidates = written(_candidates(_postings(classes), threshold), "ngram-candidates")
-    groups = max(1, -(-candidates.count() // PAIRS_PER_GROUP))
-    pairs = candidates.withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(groups)).cast("int"))
-    wanted = pairs.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    # A doc_id that several rows share may belong to several classes; then the class that has it as its representative decides.
-    arrays = _arrays(docs, written(wanted, "ngram-wanted"), n)
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        where: dict[int, list[np.ndarray]] = {}
-        lists = right["grams"].combine_chunks() if right.num_rows else []
-        for i, rep in enumerate(right["rep"].to_pylist()):
-            where.setdefault(rep, []).append(lists[i].values.to_numpy().view(np.uint64))
-        counts = {(r, i): np.bincount((g >> np.uint64(58)).astype(np.int64), minlength=64) for r, gs in where.items() for i, g in enumerate(gs)}
-        a, b, j = left["a"].to_pylist(), left["b"].to_pylist(), np.zeros(left.num_rows)
-        for k in range(left.num_rows):
-            for p, x in enumerate(where.get(a[k], ())):
-                for q, y in enumerate(where.get(b[k], ())):
-                    need = threshold / (1 + threshold) * (len(x) + len(y)) - 1e-9
-                    if np.minimum(counts[a[k], p], counts[b[k], q]).sum() < need:
-                        continue
-                    if len(x) < len(y):
-                        x_, y_ = y, x
-                    else:
-                        x_, y_ = x, y
-                    at = np.searchsorted(x_, y_)
-                    at[at == len(x_)] = 0
-                    both = int((x_[at] == y_).sum())
-                    if both >= need:
-                        j[k] = max(j[k], both / (len(x) + len(y) - both))
-        keep = j > 0
-        return pa.table({"a": pa.array(np.array(a, dtype=np.int64)[keep]), "b": pa.array(np.array(b, dtype=np.int64)[keep]), "jaccard": pa.array(j[keep])})
-
-    found = pairs.groupBy("group").cogroup(arrays.groupBy("group")).applyInArrow(verify, "a long, b long, jaccard double")
-    return classes.select("rep", "ids"), written(found, "ngram-pairs")
+    survey = written(_survey(docs, n), "ngram-survey")
+    classes = written(survey.where("chunk is null").groupBy("m1", "m2", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids")).select("rep", "ids"), "ngram-classes")
+    copies = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("__copy"), "rep").where("__copy != rep").select("__copy").distinct()
+    copies = copies.join(classes.select(F.col("rep").alias("__copy")), "__copy", "left_anti")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    one_each = docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    candidates = written(_candidates(_postings(one_each, n, threshold, _histogram(survey)), threshold), "ngram-candidates")
+    # A doc_id that several rows share may belong to several classes; then it is as similar as the most similar of its rows.
+    likely = _checked(docs, written(_in_groups(candidates), "ngram-groups"), n, threshold, exact=False).drop("jaccard")
+    return classes, _checked(docs, likely, n, threshold, exact=True).select("a", "b", "jaccard")
 
 
 def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
