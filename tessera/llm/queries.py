@@ -6,12 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import backoff_scores, ngram_jaccard
+from tessera.llm import arc_to_warc, backoff_scores, language_id, lattice_neighbours, mixing, ngram_jaccard, packing, secret_scan, token_files, weighted_minhash
 from tessera.llm._shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.convert(arc_to_warc.archives_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.trained(docs))
+
+
+def op3_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_neighbours.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_tokens(documents(spark, sf_dir))[1]
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores.scores(documents(spark, sf_dir))
 
@@ -20,14 +41,40 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_pairs(documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir), secret_scan.train(secret_scan.findings()))
+
+
+def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.fingerprints(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
-    "op6_lm_scoring": op6_lm_scoring,
-    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op7_ngram_jaccard_join,
+        op8_secret_scan, op9_sequence_packing, op10_fingerprints, pipeline,
+    )
+}
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x != '')"
 
+N_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+'))"
+#: Base 32 of a SHA-1 in hexadecimal: eight groups of five digits, each four letters.
+BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(%s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i %% 4))) & 31 AS INTEGER), 1)), '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": mixing.sql(words=N_WORDS),
     "op6_lm_scoring": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS v FROM w WHERE len(w) > 0),
@@ -48,11 +95,11 @@ g AS (
   FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 h AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared
   FROM g a JOIN s x ON a.doc_id = x.doc_id JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id JOIN s y ON b.doc_id = y.doc_id
   WHERE least(x.n, y.n) >= 0.65 * greatest(x.n, y.n) - 1e-9
   GROUP BY 1, 2)
-SELECT doc_a, doc_b, both / CAST(x.n + y.n - both AS DOUBLE) AS jaccard
+SELECT doc_a, doc_b, shared / CAST(x.n + y.n - shared AS DOUBLE) AS jaccard
 FROM h JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id
-WHERE both >= 0.65 / 1.65 * (x.n + y.n) - 1e-9""",
+WHERE shared >= 0.65 / 1.65 * (x.n + y.n) - 1e-9""",
 }
