@@ -26,10 +26,10 @@ from tessera.llm._shared import written
 ALPHA, MIN_COUNT = 0.4, 2
 #: A word is common if it makes up more than this share of the corpus; there are at most as many as its inverse.
 COMMON = 2.0**-20
-RECORDS, MOST_RECORDS, MANY = 1 << 22, 1 << 25, 4096
+RECORDS, MOST_RECORDS, MANY = 1 << 21, 1 << 24, 4096
 #: Words are told apart by 48 bits of their hashes; 0 stands for no word.
 WORD = np.uint64((1 << 48) - 1)
-PIECE = 1 << 24
+PIECE = 1 << 23
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
