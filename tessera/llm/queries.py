@@ -70,10 +70,35 @@ QUERIES: dict[str, Query] = {
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x != '')"
 
 N_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+'))"
-#: Base 32 of a SHA-1 in hexadecimal: eight groups of five digits, each four letters.
-BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(%s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i %% 4))) & 31 AS INTEGER), 1)), '')"
+
+
+def _base32(column: str) -> str:
+    """Base 32 of a SHA-1 in hexadecimal: eight groups of five digits, each four letters."""
+    part = f"CAST('0x' || substr({column}, 1 + 5 * (i // 4), 5) AS BIGINT)"
+    return f"'sha1:' || array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({part} >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '')"
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_arc_to_warc": f"""
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS i, url, coalesce(html, '') AS html, 1 + page_id % 2 AS v FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+r AS (
+  SELECT 'page-' || i || '.arc' AS archive, CAST(0 AS BIGINT) AS position, CAST(v AS INTEGER) AS version, 'filedesc://page-' || i || '.arc' AS target_uri,
+    CAST(NULL AS VARCHAR) AS ip_address, '19960101000000' AS digits, 'warcinfo' AS warc_type, 'application/warc-fields' AS content_type, CAST(NULL AS INTEGER) AS http_status,
+    v || ' 0 tessera' || chr(10) || CASE v WHEN 1 THEN '{" ".join(arc_to_warc.V1)}' ELSE '{" ".join(arc_to_warc.V2)}' END || chr(10) || chr(10) AS block, NULL AS body
+  FROM p
+  UNION ALL
+  SELECT 'page-' || i || '.arc', 1, CAST(v AS INTEGER), url, '10.' || (i // 65536 % 256) || '.' || (i // 256 % 256) || '.' || (i % 256),
+    strftime(make_timestamp(CAST((946684800 + i % 1000000000) * 1000000 AS BIGINT)), '%Y%m%d%H%M%S'), 'response', 'application/http; msgtype=response', 200,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html, html
+  FROM p),
+d AS (SELECT *, sha1(block) AS h, sha1(coalesce(body, block)) AS hp FROM r),
+e AS (SELECT *, {_base32("h")} AS block_digest, {_base32("hp")} AS payload_digest FROM d),
+u AS (SELECT *, sha1(from_hex('{arc_to_warc.SPACE.hex}') || encode(target_uri || ' ' || digits || ' ' || block_digest)) AS k FROM e)
+SELECT archive, position, version, target_uri, ip_address, warc_type, content_type, http_status, block_digest, payload_digest,
+  strftime(strptime(digits, '%Y%m%d%H%M%S'), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+  '<urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-5' || substr(k, 14, 3) || '-' || substr('89ab', 1 + CAST(CAST('0x' || substr(k, 17, 1) AS BIGINT) & 3 AS INTEGER), 1) || substr(k, 18, 3) || '-' || substr(k, 21, 12) || '>' AS record_id,
+  CAST(strlen(block) AS BIGINT) AS content_length, CAST(strlen(coalesce(body, block)) AS BIGINT) AS payload_length, CAST(NULL AS VARCHAR) AS error
+FROM u""",
     "op4_source_mixing": mixing.sql(words=N_WORDS),
     "op6_lm_scoring": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL),
