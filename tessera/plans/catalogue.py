@@ -1,7 +1,33 @@
-"""All queries of the reference's own operators by name, with the SQL that gives the same rows."""
+"""All queries of the engine's own operators by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "j2_left_join_composite"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function as a query of its own name."""
+
+    def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from tessera.plans import documents, formats, relational, scalars, scoring  # noqa: E402, F401
