@@ -2,7 +2,7 @@
 
 In each of several tables a random projection takes a vector to 8 m dimensions; each block of eight is decoded to the
 nearest point of the E8 lattice, and the m points are the vector's cell. A vector is stored in its own cell and looked up in that and,
-block by block, in the neighbouring cells nearest to it. Pairs that meet are verified by their cosine.
+block by block, in the neighbouring cells nearest to it. What meets in a cell is verified there by its cosine; each pair comes up in one cell only.
 The number of blocks follows the number of rows, so that cells keep about their size; the number of tables follows from the rate at
 which simulated pairs of exactly the threshold's cosine meet, so that all but a fiftieth of such pairs are found, and more of closer ones.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
-from tessera.llm._shared import written
 
 THRESHOLD, SCALE, PROBES, RECALL, SEED = 0.95, 1.4, 4, 0.98, 3
 ROWS_PER_BLOCK = 1 << 18
@@ -98,6 +97,51 @@ def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / norm[good][:, None], ok
 
 
+def _rows_of_bytes(x: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    x = np.ascontiguousarray(x)
+    size = x[:1].nbytes
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * size), pa.py_buffer(x)])
+
+
+def _bytes_to_rows(column: pa.Array, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(table, rows) of each cell, of rows sorted by table and cell; a cell may stretch over many batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table, cell = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (table[1:] != table[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
+            if held and last != (table[lo], cell[lo]):
+                yield int(last[0]), whole()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = (table[lo], cell[lo])
+    if held:
+        yield int(last[0]), whole()
+
+
+def _once(a: np.ndarray, b: np.ndarray, probing: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which meetings in the last of the tables given are to count: the first of their pair, and of several ways to meet in one table one.
+
+    a and b: (pair, table, own cell and probes). An own cell shared counts before a probe, and of two probes that of the lesser id (``first``).
+    """
+    same = a[:, :, 0] == b[:, :, 0]
+    a_asks, b_asks = (a[:, :, 1:] == b[:, :, :1]).any(2), (b[:, :, 1:] == a[:, :, :1]).any(2)
+    before = (same | a_asks | b_asks)[:, :-1].any(1)
+    return ~before & (~probing | (~same[:, -1] & (first | ~b_asks[:, -1])))
+
+
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, scale: float = SCALE, probes: int = PROBES, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """Pairs (vec_a, vec_b, cosine), vec_a < vec_b, of embeddings of a cosine of ``threshold`` or more; cosines have six decimals.
 
@@ -112,40 +156,50 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, scale: float =
     first = sizes.first()
     total, dim = (sizes.agg(F.sum("count")).first()[0], first["dim"]) if first else (0, 0)
     blocks = max(1, int(np.ceil(np.log(max(2, total)) / np.log(ROWS_PER_BLOCK))))
+    ids = rows.agg(F.count_distinct("vec_id")).first()[0]
     rate = meeting_rate(threshold, dim, blocks, scale, probes, seed) if dim >= 2 else 0.5
     tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(rate, 0.999)))))
 
+    names = ["cell", "table", "probe", "vec_id", "vector", "cells"]
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ok = _matrix(batch.column(1), dim)
-            ids = batch.column(0).filter(pa.array(ok)).to_numpy()
-            if not len(ids):
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                x, ok = _matrix(part.column(1), dim)
+                if not len(x):
+                    continue
+                rows = part.filter(pa.array(ok))
+                every = np.stack([cells(x, t, blocks, scale, probes, seed) for t in range(tables)], axis=1)
+                vector = _rows_of_bytes(rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(x), dim))
+                packed = _rows_of_bytes(every)
+                for t in range(tables):
+                    for p in range(every.shape[2]):
+                        yield pa.RecordBatch.from_arrays([pa.array(every[:, t, p].view(np.int64)), pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), p > 0)), rows.column(0), vector, packed], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _by_cell(batches):
+            ids, probe = group.column("vec_id").to_numpy(), group.column("probe").to_numpy(zero_copy_only=False)
+            x = _bytes_to_rows(group.column("vector"), np.float32).astype(np.float64)
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            held = np.flatnonzero(~probe)
+            if not len(held) or len(ids) < 2:
                 continue
-            all_cells = [cells(x, t, blocks, scale, probes, seed) for t in range(tables)]
-            own = np.stack([c[:, 0] for c in all_cells], axis=1)
-            owned = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * tables, pa.array(own.view(np.int64).ravel()))
-            for t, c in enumerate(all_cells):
-                for p in range(c.shape[1]):
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(c[:, p]).view(np.int64)), pa.array(np.full(n, p > 0)), pa.array(ids), owned], ["table", "cell", "probe", "vec_id", "own"])
-
-    entries = rows.mapInArrow(hashed, "table int, cell long, probe boolean, vec_id long, own array<long>")
-    asked = entries.select("table", "cell", F.col("probe").alias("probe_a"), F.col("vec_id").alias("a"), F.col("own").alias("own_a"))
-    stored = entries.where("not probe").select("table", "cell", F.col("vec_id").alias("b"), F.col("own").alias("own_b"))
-    # Two in the same cell meet at the first table in which they share it; who probes and who is stored only matters elsewhere.
-    shared_before = F.expr("exists(sequence(1, table), i -> table > 0 and own_a[i - 1] = own_b[i - 1])")
-    also_here = F.expr("probe_a and own_a[table] = own_b[table]")
-    met = asked.join(stored, ["table", "cell"]).where((F.col("a") != F.col("b")) & (F.col("probe_a") | (F.col("a") < F.col("b"))) & ~also_here & ~shared_before)
-    pairs = written(met.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct(), "lattice-pairs")
-    one, two = rows.select(F.col("vec_id").alias("vec_a"), F.col("embedding").alias("x")), rows.select(F.col("vec_id").alias("vec_b"), F.col("embedding").alias("y"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, ok_x), (y, ok_y) = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
-            both = ok_x & ok_y
-            cosine = np.einsum("ij,ij->i", x[both[ok_x]], y[both[ok_y]])
-            keep = batch.select([0, 1]).filter(pa.array(both)).filter(pa.array(cosine >= threshold - 1e-9))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(np.round(np.minimum(cosine[cosine >= threshold - 1e-9], 1), 6))], ["vec_a", "vec_b", "cosine"])
-
-    joined = pairs.join(one, "vec_a").join(two, "vec_b").select("vec_a", "vec_b", "x", "y")
-    return joined.mapInArrow(verify, "vec_a long, vec_b long, cosine double").groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+            every = _bytes_to_rows(group.column("cells"), np.uint64).reshape(len(ids), tables, -1)
+            for lo in range(0, len(ids), 256):
+                i, j = np.nonzero(x[lo : lo + 256] @ x[held].T >= threshold - 1e-9)
+                i, j = i + lo, held[j]
+                keep = np.where(probe[i], ids[i] != ids[j], ids[i] < ids[j])
+                i, j = i[keep], j[keep]
+                once = _once(every[i, : table + 1], every[j, : table + 1], probe[i], ids[i] < ids[j])
+                i, j = i[once], j[once]
+                if len(i):
+                    cosine = np.round(np.minimum(np.einsum("ij,ij->i", x[i], x[j]), 1), 6)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(cosine)], ["vec_a", "vec_b", "cosine"])
+
+    entries = rows.mapInArrow(hashed, "cell long, table int, probe boolean, vec_id long, vector binary, cells binary")
+    pairs = entries.repartition("table", "cell").sortWithinPartitions("table", "cell").mapInArrow(meet, "vec_a long, vec_b long, cosine double")
+    # Each pair of rows comes up once; only a vec_id of several rows can bring a pair again.
+    if total > ids:
+        pairs = pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    return pairs
