@@ -1,0 +1,148 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm import language_id as L
+from tessera.llm import secret_scan as S
+
+from .conftest import SCHEMA
+
+VOCABULARY = {
+    "en": "the of and to in that is was for with on they which this have from not but what were when your said there use each she how their will other about out many then them these some her would make like him into time has look two more write see number way could people my than first water been call who oil its now find long down day did get come made may part",
+    "de": "der die das und ist nicht ein eine mit von auf für sich dem den auch als nach bei wird aus wie oder wenn haben werden über schon durch zwischen können müssen während straße größe schön mädchen zurück heute morgen arbeit leben welt zeit jahr mensch gegen ohne unter viel mehr immer noch hier dort weil dass",
+    "fr": "le la les des une est dans pour que qui sur avec pas plus par ce cette sont nous vous ils elle être avoir fait comme mais tout aussi bien où très même après avant entre deux leur notre votre été français école enfant monde vie jour temps année homme femme peut faire sans sous encore toujours jamais beaucoup",
+    "es": "el la los las una es en para que por con no más como pero sus este esta son nosotros ustedes ellos ella ser haber hecho todo también bien donde muy mismo después antes entre dos nuestro vuestro sido español escuela niño mundo vida día tiempo año hombre mujer puede hacer sin bajo todavía siempre nunca mucho",
+}
+
+
+def sentence(rng, lang, n):
+    return " ".join(rng.choice(VOCABULARY[lang].split()) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model():
+    r = random.Random(0)
+    langs = [r.choice(list(VOCABULARY)) for _ in range(800)]
+    return L.fit(pa.array([sentence(r, v, r.randint(4, 60)) for v in langs]), langs)
+
+
+def test_held_out_accuracy(model):
+    r = random.Random(1)
+    langs = [r.choice(list(VOCABULARY)) for _ in range(600)]
+    family, language, _, accepted = L.judged(pa.array([sentence(r, v, r.randint(5, 60)) for v in langs]), model)
+    assert np.mean([a == b for a, b in zip(language.to_pylist(), langs)]) > 0.98
+    assert np.mean([a == ("germanic" if b in ("de", "en") else "romance") for a, b in zip(family.to_pylist(), langs)]) > 0.98
+    assert np.mean(accepted.to_pylist()) > 0.995
+
+
+def test_scores_equal_features_times_weights(model, texts):
+    plain = [t for t in texts if t]
+    values, n = L._raw(pa.array(plain), model)
+    want = L.features(pa.array(plain)) @ model.weights[:-1] + model.bias
+    assert np.allclose(values[n > 0], want[n > 0], atol=1e-5)
+
+
+def test_a_text_is_judged_alone(model, texts):
+    whole = [x.to_pylist() for x in L.judged(pa.array(texts), model)]
+    for i, t in enumerate(texts):
+        assert [x[i] for x in whole] == [x.to_pylist()[0] for x in L.judged(pa.array([t], pa.string()), model)]
+
+
+def test_what_is_in_no_language_goes(model):
+    odd = [None, "", " \n", "1234 5678 !!", "a", "漢字かな交じり文" * 60, "zzxq qqxz kjwq vvkx " * 60]
+    assert L.judged(pa.array(odd), model)[3].to_pylist()[:4] == [False] * 4
+    strange = L.judged(pa.array(odd), model)[3].to_pylist()
+    assert not strange[5]
+    assert L.judged(pa.array(["le chat", "the dog and"]), model)[3].to_pylist() == [True, True]
+
+
+def test_more_than_two_families_and_single_languages():
+    r = random.Random(2)
+    langs = [r.choice(list(VOCABULARY)) for _ in range(500)]
+    texts = pa.array([sentence(r, v, 40) for v in langs])
+    m = L.fit(texts, langs, {"english": ("en",), "german": ("de",), "romance": ("es", "fr")})
+    assert len(m.pairs) == 4
+    assert np.mean([a == b for a, b in zip(L.judged(texts, m)[1].to_pylist(), langs)]) > 0.98
+
+
+def test_rows_and_stages(spark, docs, clashing, empty):
+    model = L.trained(docs)
+    rows = L.identify(docs, model).collect()
+    assert len(rows) == docs.count()
+    kept = L.accepted(clashing, model)
+    assert kept.columns == clashing.columns
+    assert kept.count() == sum(r["accepted"] for r in rows)
+    assert L.identify(empty, L.trained(empty)).collect() == []
+    assert L.accepted(empty, L.trained(empty)).collect() == []
+    untrained = L.trained(empty)
+    assert L.judged(pa.array(["some text"]), untrained)[1].to_pylist() == ["de"]
+
+
+def test_the_sample_is_bounded_and_independent_of_partitions(docs):
+    one, two = (L.sample(docs.repartition(k), rows=10).to_pylist() for k in (1, 5))
+    assert one == two and len(one) == 10
+
+
+@pytest.fixture(scope="module")
+def net():
+    return S.train(S.findings(1800))
+
+
+def test_recall_on_new_findings(net):
+    data = S.findings(1200, seed=77)
+    hits = {0: [], 1: []}
+    for text, a, b, label in data:
+        hits[label].append(any(x < b and a < y for x, y, _ in S.found(text, net)))
+    assert np.mean(hits[1]) > 0.95
+    assert np.mean(hits[0]) < 0.05
+
+
+def test_thresholds_keep_the_recall(net):
+    data = S.findings(1800)[2::3]
+    p = net.probabilities([S.window(*f[:3]) for f in data])
+    kind = np.array([int(any(k == 1 and a == s for a, _, k in S.candidates(t))) for t, s, _, _ in data])
+    y = np.array([f[3] for f in data])
+    for k in (0, 1):
+        here = (y == 1) & (kind == k)
+        assert (p[here] >= net.thresholds[k]).mean() >= S.RECALL
+
+
+def test_probabilities_are_calibrated(net):
+    data = S.findings(3000, seed=5000)
+    p, y = net.probabilities([S.window(*f[:3]) for f in data]), np.array([f[3] for f in data])
+    assert abs(p.mean() - y.mean()) < 0.04
+
+
+def test_every_candidate_is_seen():
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a099887766"
+    for text in (f'token = "{key}"', f"TOKEN: {key.upper()}!!", f"x {key}.", "a" * 100_000 + f' password="{key}" ' + "b " * 1000):
+        found = S.candidates(text)
+        assert [text[a:b].lower() for a, b, _ in found] == [key]
+    assert S.candidates(None) == S.candidates("") == S.candidates("no digits here at allbutlongwords") == []
+    two = f"api_key={key} and secret: {key[::-1]}"
+    assert len(S.candidates(two)) == 2
+
+
+def test_windows_are_judged_alone(net):
+    data = S.findings(200, seed=9)
+    windows = [S.window(*f[:3]) for f in data]
+    assert np.allclose(net.logits(windows), [net.logits([w])[0] for w in windows])
+
+
+def test_scan_and_redaction(spark, net, clashing, empty):
+    key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    text = f'that is token = "{key}" in the text, ñ {key[::-1]} no, and password: "{key[:20]}"'
+    rows = [(1, text, "en", "s", len(text)), (1, text, "en", "s", len(text)), (2, "plain text with 12 numbers: 3", "en", "s", 29), (3, None, None, None, None), (None, text, None, None, None), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = S.scan(docs, net).collect()
+    want = S.found(text, net)
+    assert len(want) >= 2
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in found if r["doc_id"]) == sorted((1, a, b - a) for a, b, _ in want for _ in range(2))
+    out = {r["doc_id"]: r for r in S.redacted(docs, net).collect()}
+    assert key not in out[1]["text"] and "[SECRET]" in out[1]["text"] and out[1]["n_chars"] == len(out[1]["text"])
+    assert tuple(out[2]) == rows[2] and tuple(out[3]) == rows[3] and tuple(out[4]) == rows[5]
+    assert S.redacted(clashing, net).columns == clashing.columns
+    assert S.redacted(clashing, net).count() == clashing.count()
+    assert S.scan(empty, net).collect() == S.redacted(empty, net).collect() == []
