@@ -31,15 +31,19 @@ def civil_from_days(z: Column) -> tuple[Column, Column, Column]:
 
 def parse_iso(s: Column) -> tuple[Column, Column]:
     """(milliseconds since the epoch, offset in minutes); null for what isn't a timestamp."""
-    part = [F.regexp_extract(s, ISO, k) for k in range(1, 9)]
-    y, mo, d, h, mi, sec = (F.coalesce(F.nullif(p, F.lit("")).try_cast("long"), F.lit(0)) for p in part[:6])
-    millis = F.coalesce(F.nullif(F.rpad(F.left(part[6], F.lit(3)), 3, "0"), F.lit("000")).try_cast("long"), F.lit(0))
-    zone = part[7]
+    at = lambda i, n: F.substring(s, i, n).try_cast("long")
+    y, mo, d = at(1, 4), at(6, 2), at(9, 2)
+    timed, has_seconds = F.length(s) > 10, F.substring(s, 17, 1) == ":"
+    h, mi = F.when(timed, at(12, 2)).otherwise(0), F.when(timed, at(15, 2)).otherwise(0)
+    sec = F.when(has_seconds, at(18, 2)).otherwise(0)
+    # What follows the seconds, or the minutes if there are none: a fraction and a zone, one or both.
+    fraction = F.when(F.substring(s, 20, 1) == ".", F.rpad(F.regexp_extract(s, r"\.([0-9]{1,3})", 1), 3, "0").try_cast("long")).otherwise(0)
+    zone = F.when(timed & s.rlike("[+-][0-9:]+$"), F.regexp_extract(s, "T.*?([+-][0-9:]+)$", 1)).otherwise("")
     digits = F.replace(F.substring(zone, 2, 5), F.lit(":"), F.lit(""))
-    minutes = F.coalesce(F.left(digits, F.lit(2)).try_cast("long"), F.lit(0)) * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("long"), F.lit(0))
-    offset = F.when(zone.isin("", "Z"), 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+    minutes = F.left(digits, F.lit(2)).try_cast("long") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("long"), F.lit(0))
+    offset = F.when(zone == "", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
     ok = s.rlike(ISO) & mo.between(1, 12) & d.between(1, 31) & (h <= 23) & (mi <= 59) & (sec <= 59)
-    total = ((days_from_civil(y, mo, d) * 24 + h) * 60 + mi - offset) * 60000 + sec * 1000 + millis
+    total = ((days_from_civil(y, mo, d) * 24 + h) * 60 + mi - offset) * 60000 + sec * 1000 + fraction
     return F.when(ok, total.cast("long")), F.when(ok, offset.cast("int"))
 
 

@@ -1,0 +1 @@
+"""Structured Streaming: windows over events, and counters over the last minute."""
