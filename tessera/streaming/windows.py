@@ -53,11 +53,11 @@ class Limiter:
         self.seen.append((now, tokens))
 
 
-def minute_counts(events: DataFrame, key: str = "user_id", at: str = "ts", amount: str = "value") -> DataFrame:
+def minute_counts(events: DataFrame, key: str = "user_id", at: str = "ts", amount: str = "value", late: str = "10 minutes") -> DataFrame:
     """(key, ts, recent, total) for each event of a stream: how many events of its key, and how much, came in the minute up to it.
 
     State is the last minute of each key. Events of one key are taken in the order of their times within a micro-batch; one that comes
-    later than that still counts those before it. Keys without events for a minute of processing time are forgotten.
+    in a later one still counts those before it, unless it is more than ``late`` behind. Keys are forgotten once the watermark is past their last minute.
     """
     schema = events.select(key).schema[0].dataType.simpleString()
 
@@ -76,11 +76,11 @@ def minute_counts(events: DataFrame, key: str = "user_id", at: str = "ts", amoun
         last = max(times)
         kept = [i for i, u in enumerate(times) if u > last - WINDOW_MS * 1000]
         state.update(([times[i] for i in kept], [amounts[i] for i in kept]))
-        state.setTimeoutDuration(WINDOW_MS)
+        state.setTimeoutTimestamp(max(last // 1000 + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "at", "recent", "total"])
 
-    rows = events.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(amount).cast("double").alias("amount"))
-    made = rows.groupBy(key).applyInPandasWithState(update, f"{key} {schema}, at long, recent long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(key, F.col(at).cast("timestamp").alias("ts"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(amount).cast("double").alias("amount")).withWatermark("ts", late)
+    made = rows.groupBy(key).applyInPandasWithState(update, f"{key} {schema}, at long, recent long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     return made.select(key, F.timestamp_micros("at").alias("ts"), "recent", "total")
 
 

@@ -11,9 +11,9 @@ def streamed(spark, df, made, tmp_path, mode="append"):
     source = tmp_path / "in"
     df.repartition(1).write.parquet(str(source))
     stream = spark.readStream.schema(df.schema).parquet(str(source))
-    q = made(stream).writeStream.format("memory").queryName("made").outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = made(stream).writeStream.format("memory").queryName("made").outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).start()
     try:
-        q.awaitTermination(300)
+        q.processAllAvailable()
         return spark.table("made").collect()
     finally:
         q.stop()
