@@ -12,8 +12,10 @@ from tessera.sources.values import I64, U64, BigNumber, Document, FieldType, For
 
 DEPTH, INCLUDES = 256, 32
 TOKEN = re.compile(
-    r"""(?P<skip>(?:\s+|\#[^\n]*)+)
-    |(?P<punct>[{}\[\](),=~?:])
+    r"""(?:\s+|\#[^\n]*)*(?:
+    (?P<punct>[{}\[\](),=~?:])
+    |(?P<plain>[A-Za-z_][A-Za-z0-9_.\-]*(?![\w"]))
+    |(?P<simple>"[^"\\]+"(?!"))
     |@(?P<directive>[\w.\-]*)
     |!(?P<ref>[\w.\-]*)
     |b"(?P<bytes>[^"]*)(?P<bytes_end>"?)
@@ -24,7 +26,7 @@ TOKEN = re.compile(
     |(?P<radix>-?0[xX][0-9a-fA-F]*|-?0[bB][01]*)
     |(?P<number>-?[0-9]+(?:\.[0-9]*)?(?:[eE][+\-]?[0-9]*)?)
     |(?P<word>[^\W\d][\w.\-]*)
-    |(?P<other>.)""",
+    |(?P<other>.)|\Z)""",
     re.X | re.S,
 )
 ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{0,4})|(.)|\Z)", re.S)
@@ -85,84 +87,103 @@ def timestamp(s: str) -> Timestamp:
     return Timestamp((((days_of(year, month, day) * 24 + hour) * 60 + minute - offset) * 60 + second) * 1000 + millis, offset)
 
 
-def tokens(text: str) -> list[tuple[str, Any, int]]:
-    """(kind, value, line) of all tokens. Characters that begin none are passed over."""
-    out, line = [], 1
+def _bytes(s: str, ended: str) -> tuple[str, bytes]:
+    if not ended:
+        raise FormatError("Parse error: Unterminated bytes literal")
+    wrong = re.search(r"[^0-9a-fA-F]", s)
+    if wrong:
+        raise FormatError(f"Parse error: Invalid character '{wrong[0]}' in bytes literal (expected hex digit or '\"')")
+    if len(s) % 2:
+        raise FormatError(f"Parse error: Bytes literal has odd number of hex digits ({len(s)})")
+    return "Bytes", bytes.fromhex(s)
+
+
+def _radix(s: str) -> tuple[str, int]:
+    digits, base = s.lstrip("-")[2:], 16 if "x" in s.lower() else 2
+    if not digits or int(digits, base) >= I64:
+        raise FormatError(f"Parse error: Invalid {'hex' if base == 16 else 'binary'}: {s}")
+    return "Int", int(digits, base) * (-1 if s[0] == "-" else 1)
+
+
+def _number(s: str) -> tuple[str, Any]:
+    if "." not in s and "e" not in s and "E" not in s:
+        n = int(s)
+        return ("Int", n) if -I64 <= n < I64 else ("UInt", n) if 0 <= n < U64 else ("JsonNumber", BigNumber(s))
+    try:
+        x = float(s)
+    except ValueError:
+        raise FormatError(f"Parse error: Invalid float: {s}") from None
+    return ("Float", x) if math.isfinite(x) else ("JsonNumber", BigNumber(s))
+
+
+def tokens(text: str) -> tuple[list[str], list[Any], list[int]]:
+    """Kinds, values and ends of all tokens. Characters that begin none are passed over."""
+    kinds, values, ends = [], [], []
     for m in TOKEN.finditer(text):
-        kind, s = m.lastgroup, m.group()
-        here, line = line, line + s.count("\n")
-        if kind in ("skip", "other"):
+        group = m.lastgroup
+        if group is None or group == "other":
             continue
-        if kind == "punct":
-            out.append((NAMES[s], None, here))
-        elif kind == "directive" or kind == "ref":
-            out.append(("Directive" if kind == "directive" else "Ref", s[1:], here))
-        elif kind == "bytes_end":
-            if not m["bytes_end"]:
-                raise FormatError("Parse error: Unterminated bytes literal")
-            wrong = re.search(r"[^0-9a-fA-F]", m["bytes"])
-            if wrong:
-                raise FormatError(f"Parse error: Invalid character '{wrong[0]}' in bytes literal (expected hex digit or '\"')")
-            if len(m["bytes"]) % 2:
-                raise FormatError(f"Parse error: Bytes literal has odd number of hex digits ({len(m['bytes'])})")
-            out.append(("Bytes", bytes.fromhex(m["bytes"]), here))
-        elif kind == "block_end":
-            if not m["block_end"]:
-                raise FormatError("Parse error: Unterminated multiline string")
-            out.append(("String", dedent(m["block"]), here))
-        elif kind == "string_end":
-            value = unescape(m["string"])
-            if not m["string_end"]:
+        s = m[group]
+        if group == "punct":
+            kind, value = NAMES[s], None
+        elif group == "plain":
+            kind, value = WORDS.get(s) or ("Word", s)
+        elif group == "simple":
+            kind, value = "String", s[1:-1]
+        elif group == "number":
+            kind, value = _number(s)
+        elif group == "string_end":
+            kind, value = "String", unescape(m["string"])
+            if not s:
                 raise FormatError("Parse error: Unterminated string")
-            out.append(("String", value, here))
-        elif kind == "date":
-            out.append(("Timestamp", timestamp(s), here))
-        elif kind == "minus":
-            out.append(("Float", -math.inf, here))
-        elif kind == "radix":
-            digits, base = s.lstrip("-")[2:], 16 if "x" in s.lower() else 2
-            if not digits or int(digits, base) >= I64:
-                raise FormatError(f"Parse error: Invalid {'hex' if base == 16 else 'binary'}: {s}")
-            out.append(("Int", int(digits, base) * (-1 if s[0] == "-" else 1), here))
-        elif kind == "number":
-            if s.lstrip("-").isdigit():
-                n = int(s)
-                out.append(("Int", n, here) if -I64 <= n < I64 else ("UInt", n, here) if 0 <= n < U64 else ("JsonNumber", BigNumber(s), here))
-            else:
-                try:
-                    x = float(s)
-                except ValueError:
-                    raise FormatError(f"Parse error: Invalid float: {s}") from None
-                out.append(("Float", x, here) if math.isfinite(x) else ("JsonNumber", BigNumber(s), here))
+        elif group == "directive" or group == "ref":
+            kind, value = ("Directive" if group == "directive" else "Ref"), s
+        elif group == "date":
+            kind, value = "Timestamp", timestamp(s)
+        elif group == "word":
+            kind, value = WORDS.get(s) or ("Word", s)
+        elif group == "block_end":
+            if not s:
+                raise FormatError("Parse error: Unterminated multiline string")
+            kind, value = "String", dedent(m["block"])
+        elif group == "bytes_end":
+            kind, value = _bytes(m["bytes"], s)
+        elif group == "radix":
+            kind, value = _radix(s)
         else:
-            out.append((*WORDS[s], here) if s in WORDS else ("Word", s, here))
-    out.append(("Eof", None, line))
-    return out
+            kind, value = "Float", -math.inf
+        kinds.append(kind)
+        values.append(value)
+        ends.append(m.end())
+    kinds.append("Eof")
+    values.append(None)
+    ends.append(len(text))
+    return kinds, values, ends
 
 
-SCALARS = ("Bool", "Int", "UInt", "JsonNumber", "Float", "String", "Bytes", "Word", "Timestamp")
-STARTS = (*SCALARS, "Null", "Ref", "Colon", "Directive", "LBrace", "LBracket", "LParen")
+SCALARS = frozenset(("Bool", "Int", "UInt", "JsonNumber", "Float", "String", "Bytes", "Word", "Timestamp"))
+STARTS = frozenset((*SCALARS, "Null", "Ref", "Colon", "Directive", "LBrace", "LBracket", "LParen"))
 
 
 class Parser:
     def __init__(self, text: str, folder: Path | None = None, read: Callable[[Path], str] | None = None, above: tuple[Path, ...] = ()):
-        self.tokens, self.at = tokens(text), 0
+        self.text, (self.kinds, self.values, self.ends), self.at = text, tokens(text), 0
+        self.kind = self.kinds[0]
         self.folder, self.read, self.above = folder, read or (lambda p: p.read_text(encoding="utf-8")), above
         self.schemas: dict[str, Schema] = {}
         self.unions: dict[str, Union] = {}
         self.root_array = False
 
-    @property
-    def kind(self) -> str:
-        return self.tokens[self.at][0]
-
     def next(self) -> Any:
-        value = self.tokens[self.at][1]
-        self.at = min(self.at + 1, len(self.tokens) - 1)
+        at = self.at
+        value = self.values[at]
+        if self.kind != "Eof":
+            self.at = at = at + 1
+            self.kind = self.kinds[at]
         return value
 
     def got(self) -> str:
-        kind, value, _ = self.tokens[self.at]
+        kind, value = self.kind, self.values[self.at]
         return kind if value is None else f'{kind}("{value}")' if isinstance(value, str) else f"{kind}({value})"
 
     def expect(self, kind: str, what: str | None = None) -> Any:
@@ -181,7 +202,8 @@ class Parser:
         out = []
         while self.kind != kind:
             out.append(one())
-            self.skip("Comma")
+            if self.kind == "Comma":
+                self.next()
         self.next()
         return out
 
@@ -189,7 +211,7 @@ class Parser:
         data: dict[str, Any] = {}
         while self.kind != "Eof":
             if self.kind == "Directive":
-                line = self.tokens[self.at][2]
+                end = self.ends[self.at]
                 name = self.next()
                 if name == "struct":
                     name = self.expect("Word", "word")
@@ -203,7 +225,7 @@ class Parser:
                     data.update(self.include())
                 elif name == "root-array":
                     self.root_array = True
-                elif self.kind in STARTS and self.tokens[self.at][2] == line:
+                elif self.kind in STARTS and "\n" not in self.text[end : self.ends[self.at]]:
                     self.value(0)
             elif self.kind in ("Word", "String"):
                 key, value = self.pair(0)
@@ -328,11 +350,12 @@ class Parser:
         self.expect("LParen")
         out = {}
         for name, kind in schema.fields:
-            explicit = self.kind == "ExplicitNull"
-            value = self.of_type(kind, depth)
-            if explicit or not kind.nullable or value is not None:
+            token = self.kind
+            value = self.next() if token in SCALARS and not kind.is_array else self.of_type(kind, depth)
+            if value is not None or token == "ExplicitNull" or not kind.nullable:
                 out[name] = value
-            self.skip("Comma")
+            if self.kind == "Comma":
+                self.next()
         self.expect("RParen")
         return out
 
