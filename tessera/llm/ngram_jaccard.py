@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _hashing as H
 from tessera.llm._shared import written
 
-N, THRESHOLD = 3, 0.65
+N, THRESHOLD = 3, 0.5
 CELL_BITS, CHUNK_BITS = 22, 16
 #: Candidates' documents are found by a bit array of at most so many bits; if they are more, by the join alone.
 FILTER_BITS = 1 << 27

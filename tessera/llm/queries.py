@@ -122,9 +122,9 @@ s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 h AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared
   FROM g a JOIN s x ON a.doc_id = x.doc_id JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id JOIN s y ON b.doc_id = y.doc_id
-  WHERE least(x.n, y.n) >= 0.65 * greatest(x.n, y.n) - 1e-9
+  WHERE least(x.n, y.n) >= {ngram_jaccard.THRESHOLD} * greatest(x.n, y.n) - 1e-9
   GROUP BY 1, 2)
 SELECT doc_a, doc_b, shared / CAST(x.n + y.n - shared AS DOUBLE) AS jaccard
 FROM h JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id
-WHERE shared >= 0.65 / 1.65 * (x.n + y.n) - 1e-9""",
+WHERE shared >= {ngram_jaccard.THRESHOLD} / (1 + {ngram_jaccard.THRESHOLD}) * (x.n + y.n) - 1e-9""",
 }
