@@ -30,7 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once all that was made of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: str | Column) -> Column:

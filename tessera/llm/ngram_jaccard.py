@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
-from tessera.llm._shared import written
+from tessera.llm._shared import dropped, written
 
 N, THRESHOLD = 3, 0.5
 CELL_BITS, CHUNK_BITS = 22, 16
@@ -106,7 +106,7 @@ def _postings(docs: DataFrame, n: int, t: float, cells: np.ndarray) -> DataFrame
 
 
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b), a < b, each once."""
+    """(a, bs): with each a all b > a that it has to be held against, each once."""
     a = postings.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "place", "before")))
     b = postings.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "place", "before")))
     size = {s: F.shiftright(f"place_{s}", 32) for s in "ab"}
@@ -117,7 +117,7 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
     need = F.ceil(F.lit(t / (1 + t)) * (size["a"] + size["b"]) - F.lit(1e-9))
     fits = (F.least(size["a"], size["b"]) >= F.lit(t) * F.greatest(size["a"], size["b"]) - F.lit(1e-9)) & (F.least(size["a"] - pos["a"], size["b"] - pos["b"]) >= need)
     seen = ((one["a"] != 0) & ((one["a"] == one["b"]) | (one["a"] == two["b"]))) | ((two["a"] != 0) & ((two["a"] == two["b"]) | (two["a"] == one["b"])))
-    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).groupBy(F.col("rep_a").alias("a")).agg(F.collect_set("rep_b").alias("bs"))
 
 
 def _bins(grams: np.ndarray) -> bytes:
@@ -163,12 +163,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact: bool) -> DataFrame:
-    """Of pairs (a, b, group) those that pass the suffix filter, or, if exact, those that are similar.
+    """Of rows (a, bs, group) those pairs that pass the suffix filter, or, if exact, those that are similar; ``scores`` go with the bs.
 
     What each group needs of its documents is made from their texts. Most other documents are left out before
     the shuffle by a bit array, as long as that is small.
     """
-    wanted = written(pairs.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct(), "ngram-wanted")
+    wanted = written(pairs.select("group", F.explode(F.concat(F.array("a"), "bs")).alias("rep")).distinct(), "ngram-wanted")
     n_wanted = wanted.count()
     bits = 1 << max(10, int(np.ceil(np.log2(16 * max(1, n_wanted)))))
     shared = None
@@ -195,29 +195,35 @@ def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact:
         of: dict[int, list[tuple[int, np.ndarray]]] = {}
         for rep, size, data in zip(right["rep"].to_pylist(), right["size"].to_pylist(), right["data"].to_pylist()):
             of.setdefault(rep, []).append((size, _unpacked(data) if exact else _unbin(data)))
-        a, b, j = left["a"].to_pylist(), left["b"].to_pylist(), np.zeros(left.num_rows)
-        for k in range(left.num_rows):
-            for n_x, x in of.get(a[k], ()):
-                for n_y, y in of.get(b[k], ()):
-                    both = _common(x, y) if exact else _most_common(x, y)
-                    if both >= threshold / (1 + threshold) * (n_x + n_y) - 1e-9:
-                        j[k] = max(j[k], both / max(1, n_x + n_y - both) if exact else 1.0)
-        keep = pa.array(j > 0)
-        return pa.table({"a": left["a"].filter(keep), "b": left["b"].filter(keep), "group": left["group"].filter(keep), "jaccard": pa.array(j).filter(keep)})
+        out: dict[str, list] = {"a": [], "bs": [], "scores": [], "group": []}
+        for a, bs, group in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["group"].to_pylist()):
+            kept: dict[int, float] = {}
+            for n_x, x in of.get(a, ()):
+                for b in bs:
+                    for n_y, y in of.get(b, ()):
+                        both = _common(x, y) if exact else _most_common(x, y)
+                        if both >= threshold / (1 + threshold) * (n_x + n_y) - 1e-9:
+                            kept[b] = max(kept.get(b, 0.0), both / max(1, n_x + n_y - both) if exact else 1.0)
+            if kept:
+                for name, v in zip(out, (a, list(kept), list(kept.values()), group)):
+                    out[name].append(v)
+        return pa.table({"a": pa.array(out["a"], pa.int64()), "bs": pa.array(out["bs"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64())), "group": pa.array(out["group"], pa.int32())})
 
     data = wanted.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text", cell.alias("cell")).where("rep is not null").mapInArrow(make, "rep long, size int, data binary"), "rep")
-    return written(pairs.groupBy("group").cogroup(data.groupBy("group")).applyInArrow(check, "a long, b long, group int, jaccard double"), "ngram-checked")
+    made = written(pairs.groupBy("group").cogroup(data.groupBy("group")).applyInArrow(check, "a long, bs array<long>, scores array<double>, group int"), "ngram-checked")
+    dropped(wanted)
+    return made
 
 
 def _in_groups(candidates: DataFrame) -> DataFrame:
-    """(a, b, group): pairs of one neighbourhood come together, so that few groups need the same document; large ones are divided."""
-    ends = candidates.select(F.col("a").alias("x"), "a").unionByName(candidates.select(F.col("b").alias("x"), "a"))
-    least = ends.groupBy("x").agg(F.min("a").alias("label"))
+    """(a, bs, group): rows of one neighbourhood come together, so that few groups need the same document; large ones are divided."""
+    least = candidates.select(F.explode(F.concat(F.array("a"), "bs")).alias("x"), "a").groupBy("x").agg(F.min("a").alias("label"))
     labelled = candidates.join(least.withColumnRenamed("x", "a"), "a")
-    sizes = labelled.groupBy("label").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).alias("parts"))
-    groups = max(1, -(-candidates.count() // PAIRS_PER_GROUP))
+    sizes = labelled.groupBy("label").agg(F.ceil(F.sum(F.size("bs")) / PAIRS_PER_GROUP).alias("parts"))
+    total = candidates.agg(F.sum(F.size("bs"))).first()[0] or 0
+    groups = max(1, -(-total // PAIRS_PER_GROUP))
     part = F.pmod(F.xxhash64("a"), F.col("parts"))
-    return labelled.join(sizes, "label").select("a", "b", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("group"))
+    return labelled.join(sizes, "label").select("a", "bs", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("group"))
 
 
 def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -232,9 +238,13 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
         copies = F.broadcast(copies)
     one_each = docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
     candidates = written(_candidates(_postings(one_each, n, threshold, _histogram(survey)), threshold), "ngram-candidates")
+    groups = written(_in_groups(candidates), "ngram-groups")
+    dropped(survey, candidates)
     # A doc_id that several rows share may belong to several classes; then it is as similar as the most similar of its rows.
-    likely = _checked(docs, written(_in_groups(candidates), "ngram-groups"), n, threshold, exact=False).drop("jaccard")
-    return classes, _checked(docs, likely, n, threshold, exact=True).select("a", "b", "jaccard")
+    likely = _checked(docs, groups, n, threshold, exact=False)
+    similar = _checked(docs, likely.drop("scores"), n, threshold, exact=True)
+    dropped(groups, likely)
+    return classes, similar.select("a", F.explode(F.arrays_zip("bs", "scores")).alias("s")).select("a", F.col("s.bs").alias("b"), F.col("s.scores").alias("jaccard"))
 
 
 def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,8 +259,10 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     left, right = classes.select(F.col("rep").alias("a"), F.col("ids").alias("ids_a")), classes.select(F.col("rep").alias("b"), F.col("ids").alias("ids_b"))
     equal = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard"))
     near = pairs.join(left, "a").join(right, "b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
-    # Only a doc_id of several rows can bring the same pair twice.
-    return equal.where("x < y").unionByName(near.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")).groupBy(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    found = equal.where("x < y").unionByName(near.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")).select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard")
+    # Each pair comes once, unless several rows share a doc_id.
+    ids = classes.select(F.explode("ids").alias("id")).groupBy("id").count()
+    return found if ids.where("count > 1").isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,6 +290,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         after = written(small, "components")
         stats = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for x in (edges, after)]
+        dropped(edges)
         edges = after
         if tuple(stats[0]) == tuple(stats[1]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
