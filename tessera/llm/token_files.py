@@ -64,6 +64,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
     folder = folder or new_folder(spark, "tokens")
     fs, path = _at(folder)
     fs.create_dir(path, recursive=True)
+    if fs.get_file_info(pfs.FileSelector(path)):
+        raise ValueError(f"{folder} isn't empty")
     kind = dtype_for(max(encoding(tokenizer).n_vocab - 1, end or 0))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +89,13 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(k, part, np.int32)), pa.array(row + np.arange(k)), pa.array(n), pa.array(start)], ["doc_id", "part", "row", "tokens", "offset"])
                 row, total = row + k, total + int(n.sum())
             offsets.write(np.array([total], dtype="<u8").tobytes())
-        if row:
-            for what in ("offsets", "ids"):
-                fs.move(f"{own}.{what}", f"{path}/{part:06d}.{what}")
-        else:
-            fs.delete_file(f"{own}.ids")
-            fs.delete_file(f"{own}.offsets")
+        for what in ("offsets", "ids"):
+            name = f"{path}/{part:06d}.{what}"
+            # An earlier attempt of the same task has put the same bytes there; not all file systems rename over a file.
+            if row and fs.get_file_info(name).type == pfs.FileType.NotFound:
+                fs.move(f"{own}.{what}", name)
+            else:
+                fs.delete_file(f"{own}.{what}")
 
     # Written before it is read twice, so that no file is ever made again by another plan.
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, part int, row long, tokens long, offset long"), "token-rows")
@@ -102,6 +105,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
     manifest = {"dtype": kind.str, "end": end, "parts": [{"part": p, "tokens": int(t), "documents": int(d), "base": int(b), "first_document": int(f)} for p, t, d, b, f in zip(parts["part"].to_pylist(), tokens, documents, bases, np.cumsum(documents) - documents)]}
     with fs.open_output_stream(posixpath.join(path, "manifest.json")) as out:
         out.write(json.dumps(manifest).encode())
+    for left in fs.get_file_info(pfs.FileSelector(path)):
+        if posixpath.basename(left.path).startswith("."):  # of attempts that were killed
+            fs.delete_file(left.path)
     base = spark.createDataFrame(pa.table({"part": parts["part"].cast(pa.int32()), "base": pa.array(bases)}))
     return folder, rows.join(base, "part").select("doc_id", "part", "row", "tokens", "offset", "base")
 

@@ -175,6 +175,8 @@ def test_files_are_flat_integers(spark, docs, tmp_path):
     assert len(raw) == m["parts"][0]["tokens"] == offsets[-1] and (np.diff(offsets.astype(np.int64)) >= 0).all()
     assert not list((tmp_path / "out").glob(".*"))
     assert rows.agg(F.sum("tokens")).first()[0] == len(raw)
+    with pytest.raises(ValueError, match="empty"):
+        K.write_tokens(docs, f"file://{tmp_path}/out")
 
 
 def test_empty_corpus_and_other_columns(docs, clashing, empty):
