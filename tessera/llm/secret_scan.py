@@ -23,7 +23,7 @@ from tessera.llm import _hashing as H
 
 BEFORE, AFTER = 32, 12
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
-RECALL, FINDINGS, SEED = 0.99, 3000, 5
+RECALL, FINDINGS, SEED = 0.995, 9000, 5
 NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential"
 ASSIGNED = re.compile(rf"(?i)(?:{NAMES})[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>]{{8,}})")
 RUN = re.compile(r"[A-Za-z0-9+/_=~.\-]{12,}")
@@ -87,6 +87,7 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
         return " ".join(w + ("***", "&&&", "$$$")[rng.integers(0, 3)] if style == 0 else w + " |" if style == 1 else w for w in words)
 
     secret = [
+        lambda: _pick(rng, hexa, int(rng.choice([32, 40, 40, 64]))),
         lambda: _pick(rng, hexa, int(rng.choice([32, 40, 48, 64]))),
         lambda: _pick(rng, b64, int(rng.integers(24, 64))) + str(rng.choice(["", "=", "=="])),
         lambda: "AKIA" + _pick(rng, up + num, 16),
@@ -113,18 +114,23 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
     for _ in range(n):
         label, case = int(rng.random() < 0.5), rng.random()
         before, after = prose(rng.integers(0, 9)), prose(rng.integers(0, 5))
+        # Another credential close by says nothing of this candidate.
+        near = rng.random()
+        if near < 0.2:
+            other = f'{rng.choice(names)} = "{secret[rng.integers(0, len(secret))]()}"'
+            before, after = (f"{before} {other}", after) if near < 0.1 else (before, f"{other} {after}")
         if label:
             if case < 0.8:
                 value = password() if rng.random() < 0.15 else secret[rng.integers(0, len(secret))]()
                 lead = str(rng.choice(names)) + str(rng.choice([" = ", "=", ": ", ":", " := "]))
                 quote = str(rng.choice(['"', "'", ""]))
             else:
-                value, lead, quote = secret[rng.integers(2, 5)](), str(rng.choice(["", "key ", "Bearer ", "use ", "login with "])), ""
+                value, lead, quote = secret[rng.integers(3, 6)](), str(rng.choice(["", "key ", "Bearer ", "use ", "login with "])), ""
         elif case < 0.15:
             value, lead, quote = str(rng.choice(placeholder)), str(rng.choice(names)) + str(rng.choice([" = ", ": ", "="])), str(rng.choice(['"', "'", ""]))
         elif case < 0.25:
             value, lead, quote = "".join(rng.choice(["er", "th", "on", "an", "tion", "ing", "ou", "re"], rng.integers(4, 7))), str(rng.choice(names)) + ": ", ""
-        elif case < 0.4:
+        elif case < 0.32:
             value, lead, quote = _pick(rng, hexa, 40), str(rng.choice(["commit ", "sha1 ", "revision ", "digest ", "checksum ", "blob ", "etag "])), ""
         else:
             value, lead, quote = harmless[rng.integers(0, len(harmless))](), str(rng.choice(["", "", "", "call ", "see ", "id ", "at ", "version ", "http://"])), str(rng.choice(["", "", '"']))
