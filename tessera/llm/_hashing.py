@@ -47,7 +47,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(texts: pa.Array, most: int = 1 << 23):
+def pieces(texts: pa.Array, most: int = 1 << 22):
     """(first, part) slices of texts of about ``most`` bytes, so that memory doesn't grow with the batch."""
     n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(n)
