@@ -144,14 +144,14 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
                     if at[b] < at[b + 1]:
                         rows = order[at[b] : at[b + 1]]
                         here, local = np.unique(doc[rows], return_inverse=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packer.compress(ids[here].tobytes())], pa.binary()), pa.array([pack(w[rows], v[rows], local)], pa.binary())], ["bucket", "docs", "grams"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([packer.compress(np.diff(ids[here], prepend=0).tobytes())], pa.binary()), pa.array([pack(w[rows], v[rows], local)], pa.binary())], ["bucket", "docs", "grams"])
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(bigrams, "bucket int, docs binary, grams binary").groupBy("bucket")
 
     def counted(t: pa.Table):
         """Of the records of one bucket: context, document, count of the bigram, count of the word."""
         keys, values = table()
-        parts = [(*unpack(g.as_py()), np.frombuffer(zstandard.decompress(d.as_py()), np.int64)) for g, d in zip(t["grams"], t["docs"])]
+        parts = [(*unpack(g.as_py()), np.cumsum(np.frombuffer(zstandard.decompress(d.as_py()), np.int64))) for g, d in zip(t["grams"], t["docs"])]
         w, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         doc = np.concatenate([p[3][p[2]] for p in parts])
         del parts
