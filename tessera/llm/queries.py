@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import arc_to_warc, backoff_scores, language_id, lattice_neighbours, mixing, ngram_jaccard, packing, secret_scan, token_files, weighted_minhash
+from tessera.llm import arc_to_warc, backoff_scores, language_id, lattice_neighbours, mixing, ngram_jaccard, ngram_scores, packing, secret_scan, token_files, weighted_minhash
 from tessera.llm._shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores.scores(documents(spark, sf_dir))
 
 
+def op6_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores.ngram_scores(documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_pairs(documents(spark, sf_dir))
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op7_ngram_jaccard_join,
+        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op6_lm_scoring_trigrams, op7_ngram_jaccard_join,
         op8_secret_scan, op9_sequence_packing, op10_fingerprints, pipeline,
     )
 }
