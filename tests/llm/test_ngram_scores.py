@@ -61,6 +61,14 @@ def test_longer_sequences_and_single_occurrences_count(spark):
     assert got[3] == pytest.approx(start + math.log(0.4) + math.log(1 / 3), abs=1e-3)
 
 
+def test_single_occurrences_elsewhere_count(spark):
+    """Each text's pairs occur once in its own row and once in another; what only its own row has is unseen."""
+    df = spark.createDataFrame([(0, "a b", None, None, 3), (1, "a b", None, None, 3), (2, "c d c d", None, None, 7)], SCHEMA)
+    got = {r["doc_id"]: r["log_score"] for r in G.ngram_scores(df).collect()}
+    assert got[0] == got[1] == pytest.approx(math.log(1 / 6), abs=1e-3)
+    assert got[2] == pytest.approx(math.log(1 / 4) * 4 + math.log(0.4) + 2 * 2 * math.log(0.4), abs=1e-3)
+
+
 def test_order_two_is_the_bigram_operator(docs, empty):
     assert {r["doc_id"]: r["log_score"] for r in G.ngram_scores(docs, 2, min_count=2, held_out=False).collect()} == pytest.approx({r["doc_id"]: r["log_score"] for r in B.scores(docs).collect()}, abs=2e-3)
     assert G.ngram_scores(empty).collect() == []
