@@ -62,6 +62,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
     return rows.join(kept, ["shard", "source", "block"], "left_semi").select("doc_id", "source", "tokens", "shard", "block")
 
 
+def mix_by_tokens(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, tokens, shard, block) as ``mix`` gives them, but a document counts for all the blocks that it covers.
+
+    A source of a shard has as many blocks as its tokens fill, one at least, and its quota is one of tokens, ``block_tokens`` a seat. Its
+    documents are kept in another seeded order as long as they lie by half or more within the quota, so its tokens miss it by half of one document at most.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share must be in [0, 1]")
+    rows = blocks(docs, block_tokens, shard_rows, seed)
+    filled = F.greatest(F.ceil(F.sum("tokens") / F.lit(block_tokens)), F.lit(1)).cast("long")
+    each = rows.groupBy("shard", "source").agg(filled.alias("n")).select("shard", "source", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("block"))
+    by = Window.partitionBy("shard", "source").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("order", seeded(seed + 1, "doc_id")).withColumn("after", F.sum("tokens").over(by))
+    kept = placed.join(quotas(each, weights, share), ["shard", "source"]).where(2 * F.col("after") - F.col("tokens") <= 2 * block_tokens * F.col("quota"))
+    return kept.select("doc_id", "source", "tokens", "shard", "block")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The selected rows of ``docs`` with all their columns; rows that share a doc_id stay or go together."""
     chosen = mix(docs, **options).select(F.col("doc_id").alias("__chosen"))

@@ -29,6 +29,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_source_mixing_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_tokens(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_tokens(documents(spark, sf_dir))[1]
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op6_lm_scoring_trigrams, op7_ngram_jaccard_join,
+        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op4_source_mixing_by_tokens, op5_token_files, op6_lm_scoring, op6_lm_scoring_trigrams, op7_ngram_jaccard_join,
         op8_secret_scan, op9_sequence_packing, op10_fingerprints, pipeline,
     )
 }

@@ -129,3 +129,15 @@ def test_mixing_leaves_rows_as_they_are(docs, clashing, empty):
     assert mixing.mix(empty).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(docs, share=2)
+
+
+def test_long_documents_take_their_quota_by_tokens(spark):
+    """Two sources of equal weight and equal tokens, one of them in documents of many blocks: each keeps its share of the tokens."""
+    rows = [(i, "w " * 1000, None, "long", 2000) for i in range(20)] + [(100 + i, "w " * 10, None, "short", 20) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = collections.Counter()
+    for r in mixing.mix_by_tokens(docs, {}, 100, share=0.5).collect():
+        got[r["source"]] += r["tokens"]
+    assert abs(got["long"] - 10_000) <= 500 and abs(got["short"] - 10_000) <= 5
+    assert mixing.mix_by_tokens(docs, {}, 100, share=1.0).count() == len(rows)
+    assert mixing.mix_by_tokens(docs, {}, 100, share=0.0).count() == 0
