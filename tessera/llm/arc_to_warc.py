@@ -45,21 +45,32 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _inflated(data: bytes) -> bytes:
-    """The contents of an archive of gzip members on end, up to a broken one; other data as they are."""
+def _inflated(data: bytes) -> Iterator[bytes | None]:
+    """The contents of an archive of gzip members on end, as stretches of whole ones; None stands for a broken member, after which the next that inflates goes on. Other data as they are."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+        yield data
+        return
+    out, at, broken = [], 0, False
+    while 0 <= at < len(data):
         d = zlib.decompressobj(31)
         try:
-            out.append(d.decompress(data) + d.flush())
+            part = d.decompress(data[at:] if at else data) + d.flush()
         except zlib.error:
-            break
-        if not d.eof or d.unused_data == data:
-            break
-        data = d.unused_data
-    return b"".join(out)
+            part = None
+        if part is not None and d.eof:
+            out.append(part)
+            at, broken = len(data) - len(d.unused_data), False
+            if data[at : at + 2] == b"\x1f\x8b" or not data[at:].strip(b"\0\r\n"):
+                if not data[at:].strip(b"\0\r\n"):
+                    break
+                continue
+        if not broken:
+            yield b"".join(out)
+            yield None
+            out, broken = [], True
+        at = data.find(b"\x1f\x8b\x08", at + 1)
+    if out:
+        yield b"".join(out)
 
 
 def http_parts(block: bytes) -> tuple[int | None, bytes]:
@@ -79,11 +90,21 @@ def warc_type(url: str, status: int | None) -> str:
 
 
 def records(data: bytes | None, archive: str | None) -> Iterator[tuple]:
-    """Rows of SCHEMA. What can't be read gives one row with an error; reading goes on at the declared length or, without one, ends."""
+    """Rows of SCHEMA. What can't be read gives one row with an error; reading goes on at the declared length or, without one, at the next intact gzip member after a broken one."""
     if data is None:
         return
-    data = _inflated(bytes(data))
-    at, version, fields, position = 0, 0, V1, 0
+    state = {"version": 0, "fields": V1, "position": 0, "broken": False}
+    for part in _inflated(bytes(data)):
+        if part is None:
+            state["broken"] = True
+            yield (archive, state["position"], state["version"] or None, *[None] * (len(COLUMNS) - 4), "broken gzip member")
+        else:
+            yield from _records(part, archive, state)
+
+
+def _records(data: bytes, archive: str | None, state: dict) -> Iterator[tuple]:
+    """The records of one stretch; ``state`` is what the version block said and how many records came before. Past a broken member no version block need come first."""
+    at, version, fields, position = 0, state["version"], state["fields"], state["position"]
 
     def failed(why: str) -> tuple:
         return (archive, position, version or None, *[None] * (len(COLUMNS) - 4), why)
@@ -100,12 +121,12 @@ def records(data: bytes | None, archive: str | None) -> Iterator[tuple]:
             yield failed("header line without end")
             return
         is_first = line.startswith("filedesc:")
-        if not version and not is_first:
+        if not version and not is_first and not state["broken"]:
             yield failed("no version block")
             return
         parts = line.split(" ")
         # The version block's own header line has the fields of version 1 or of version 2; which one its contents say.
-        names = (V2 if len(parts) == len(V2) else V1) if is_first else fields
+        names = (V2 if len(parts) == len(V2) else V1) if is_first or not version else fields
         if len(parts) > len(names) and len(names) >= 5:  # spaces in a URL: the last fields are counted from the end
             extra = len(parts) - len(names)
             parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
@@ -138,6 +159,7 @@ def records(data: bytes | None, archive: str | None) -> Iterator[tuple]:
             length, status, of_block, of_payload, len(payload), None if date else "bad date",
         )
         position += 1
+        state.update(version=version, fields=fields, position=position)
 
 
 def convert(archives: DataFrame) -> DataFrame:

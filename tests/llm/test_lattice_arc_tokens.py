@@ -125,6 +125,15 @@ def test_broken_archives():
         assert sum(r["error"] is not None for r in parsed(whole[:cut])) <= 1
 
 
+@pytest.mark.parametrize("bad", [0, 1, 2])
+def test_a_broken_member_gives_an_error_and_the_rest(bad):
+    members = [gzip.compress(x, mtime=0) for x in (A.arc_bytes("x.arc", 1, []), *(f"http://{c}/ 1.1.1.1 20010101000000 text/html {len(PAGE)}\n".encode() + PAGE + b"\n" for c in "abc"))]
+    members[bad] = members[bad][:12] + b"\xff" * 8 + members[bad][20:]
+    got = parsed(b"".join(members))
+    assert [r["target_uri"] for r in got if not r["error"]] == [u for k, u in enumerate(["filedesc://x.arc", "http://a/", "http://b/", "http://c/"]) if k != bad]
+    assert [r["error"] for r in got if r["error"]] == ["broken gzip member"]
+
+
 def test_conversion_of_rows(spark):
     pages = [(1, "http://a.example/", "<p>x</p>"), (2, "https://b.example/ü", None), (2, "https://b.example/ü", None), (None, "http://c/", "x"), (4, None, "x"), (5, "http://d/", "y" * 300_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("archive", F.lit("z"))
