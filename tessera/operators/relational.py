@@ -147,7 +147,7 @@ def stripped(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, start: DataFrame, limit: int = 64) -> DataFrame:
-    """(origin, node, depth): what each start node reaches, at its least depth; cycles end where they began. ``edges`` is (src, dst)."""
+    """(origin, node, depth): what each start node reaches, at its least depth; cycles end where they began. ``edges`` is (src, dst). A path of more than ``limit`` steps is an error."""
     spark = edges.sparkSession
     edges.createOrReplaceTempView("__edges")
     start.select(F.col(start.columns[0]).alias("node")).distinct().createOrReplaceTempView("__start")
@@ -156,6 +156,6 @@ def closure(edges: DataFrame, start: DataFrame, limit: int = 64) -> DataFrame:
           SELECT node, node, 0, array(node) FROM __start
           UNION ALL
           SELECT origin, dst, depth + 1, array_append(path, dst) FROM reach JOIN __edges ON node = src
-          WHERE depth < {limit} AND NOT array_contains(path, dst))
+          WHERE NOT array_contains(path, dst))
         SELECT origin, node, depth FROM reach""")
     return found.groupBy("origin", "node").agg(F.min("depth").alias("depth"))

@@ -131,3 +131,11 @@ def test_relational_corners(spark):
     assert R.winner_and_margin(none, "k", "e", "s").collect() == R.first_per_key(none, ["k"], [F.col("e")]).collect() == R.last_wins(none, ["k"], F.col("e")).collect() == []
     assert [r[0] for r in codes.select(R.any_contains("c", [])).collect()] == [False] * 3
     assert [r[0] for r in spark.createDataFrame([(0.5,), (-3.0,), (9.0,)], "d double").select(R.verdict(F.col("d"))).collect()] == ["PASS", "MARGINAL", "FAIL"]
+
+
+def test_closure_of_a_long_chain_is_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "x int")
+    assert R.closure(chain, start, limit=13).count() == 13
+    with pytest.raises(Exception, match="(?i)recursion"):
+        R.closure(chain, start, limit=8).collect()
