@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ NOT_SPACE = r"[^ \t\n\r\f\x0B]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, in local mode only: on a cluster executors couldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -26,10 +30,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What runs here leaves no shuffle files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors."""
+    """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors, and its shuffle files go at once."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._written_to = path
     return made
@@ -43,6 +60,18 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key counts as hot if it has more than this share of all rows; there are fewer hot keys than its inverse.
+HOT = 2.0**-10
+
+
+def joined(rows: DataFrame, of: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the one row of ``of`` that has their key; ``n`` says how many of ``total`` rows have it. What hot keys have is sent to all workers, so their rows stay where they are."""
+    hot = F.broadcast(of.where(F.col(n) > F.lit(HOT * total)))
+    cold = of.where(F.col(n) <= F.lit(HOT * total))
+    rest = rows.join(F.broadcast(of.where(F.col(n) > F.lit(HOT * total)).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words; 0 for a null."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")

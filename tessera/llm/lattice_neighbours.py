@@ -1,10 +1,12 @@
 """Operator 3: near duplicates among embeddings by lattice hashing.
 
 In each of several tables a random projection takes a vector to 8 m dimensions; each block of eight is decoded to the
-nearest point of the E8 lattice, and the m points are the vector's cell. A vector is stored in its own cell and looked up in that and,
-block by block, in the neighbouring cells nearest to it. What meets in a cell is verified there by its cosine; each pair comes up in one cell only.
-The number of blocks follows the number of rows, so that cells keep about their size; the number of tables follows from the rate at
-which simulated pairs of exactly the threshold's cosine meet, so that all but a fiftieth of such pairs are found, and more of closer ones.
+nearest point of the E8 lattice, and the m points are the vector's cell. A vector is stored in its own cell and looked up in that and in
+the neighbouring cells nearest to it. What meets in a cell is verified there by its cosine, and counts in the first table in which it meets.
+
+Equal vectors are one node. Blocks and scale are those of the least estimated work for the number of nodes; the number of tables follows from the rate at
+which simulated pairs of exactly the threshold's cosine meet, so that all but a fiftieth of such pairs are found, and more of closer ones. Pairs are
+counted where they are found and never leave a task: of each cell come its nodes' numbers of links and one edge for each node.
 """
 
 from __future__ import annotations
@@ -18,9 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
+from tessera.llm._shared import dropped, joined, written
+from tessera.llm.components import components
 
-THRESHOLD, SCALE, PROBES, RECALL, SEED = 0.95, 1.4, 4, 0.98, 3
-ROWS_PER_BLOCK = 1 << 18
+THRESHOLD, PROBES, RECALL, SEED = 0.95, 1, 0.98, 3
+#: So many vectors of one cell at most are held by one task; larger cells are divided among tasks.
+HELD = 1 << 16
+#: Logarithms of the scale and of the number of cells that random unit vectors take up in one block, as measured.
+_SCALES, _LOG_CELLS = np.log([1.0, 1.4, 2.0, 2.8, 4.0]), np.array([9.83, 7.61, 5.29, 3.56, 2.20])
+#: Seconds of an entry and of one multiplication in a comparison, for the estimate.
+_ENTRY_S, _FLOP_S = 2e-5, 1e-10
+HELD_ROLE, OWN_ROLE, PROBE_ROLE = 0, 1, 2
 
 
 def _roots() -> np.ndarray:
@@ -56,21 +66,26 @@ def _hash(points: np.ndarray) -> np.ndarray:
     return H.join_hashes([twice[..., k] for k in range(8)])
 
 
-def cells(x: np.ndarray, table: int, blocks: int, scale: float = SCALE, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """Hashes of the own cell (first) and of the cells to probe, a row for each unit vector."""
+def cells(x: np.ndarray, table: int, blocks: int, scale: float, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+    """Hashes of the own cell (first) and of the ``probes`` cells nearest beside it in any block, a row for each unit vector."""
     rng = np.random.default_rng([seed, table, blocks, x.shape[1]])
     y = (x @ (rng.standard_normal((x.shape[1], 8 * blocks)) / scale) + rng.random(8 * blocks)).reshape(len(x), blocks, 8)
     own = decode(y)
-    near = np.argsort(-((y - own) @ ROOTS.T), axis=-1, kind="stable")[..., :probes]
-    h, hn = _hash(own), _hash(own[..., None, :] + ROOTS[near])
-    out = [H.join_hashes([h[:, b] for b in range(blocks)])]
-    for b in range(blocks):
-        for p in range(probes):
-            out.append(H.join_hashes([hn[:, c, p] if c == b else h[:, c] for c in range(blocks)]))
+    h = _hash(own)
+    salt = np.uint64(table * 1000003 + x.shape[1])
+    out = [H.join_hashes([h[:, b] for b in range(blocks)] + [np.full(len(x), salt)])]
+    closeness = ((y - own) @ ROOTS.T).reshape(len(x), -1)
+    rows = np.arange(len(x))
+    for _ in range(probes):
+        best = closeness.argmax(1)
+        closeness[rows, best] = -np.inf
+        b, r = best // 240, best % 240
+        there = _hash(own[rows, b] + ROOTS[r])
+        out.append(H.join_hashes([np.where(b == c, there, h[:, c]) for c in range(blocks)] + [np.full(len(x), salt)]))
     return np.stack(out, axis=1)
 
 
-def meeting_rate(cosine: float, dim: int, blocks: int, scale: float = SCALE, probes: int = PROBES, seed: int = SEED, n: int = 4000) -> float:
+def meeting_rate(cosine: float, dim: int, blocks: int, scale: float, probes: int = PROBES, seed: int = SEED, n: int = 2000) -> float:
     """The share of n random pairs of the given cosine that meet in one table."""
     rng = np.random.default_rng(seed)
     x, z = rng.standard_normal((2, n, dim))
@@ -82,124 +97,281 @@ def meeting_rate(cosine: float, dim: int, blocks: int, scale: float = SCALE, pro
     return float(((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean())
 
 
+def plan(dim: int, n: int, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL, seed: int = SEED) -> tuple[int, float, int]:
+    """(blocks, scale, tables) for n nodes of one dimension: of those that give the recall, the ones of the least estimated work."""
+    if dim < 2 or n < 2:
+        return 1, 2.0, 0
+    best = (np.inf, 1, 2.0, 1)
+    for blocks in (1, 2, 3):
+        for scale in (1.0, 1.2, 1.4, 1.7, 2.0, 2.4, 2.8):
+            spread = np.exp(blocks * np.interp(np.log(scale), _SCALES, _LOG_CELLS))
+            work = (1 + probes) * (_ENTRY_S + n / spread * 2 * dim * _FLOP_S)
+            if work >= best[0]:  # one table at least
+                continue
+            rate = meeting_rate(threshold, dim, blocks, scale, probes, seed)
+            tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(rate, 1e-3), 0.999)))))
+            best = min(best, (work * tables, blocks, scale, tables))
+    return best[1:]
+
+
 def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the lists that are vectors of ``dim`` finite numbers with a length, and which these are."""
+    """Unit vectors of the lists that are vectors of ``dim`` finite numbers with a length, and which these are."""
     ok = np.zeros(len(lists), dtype=bool)
     n = pa.compute.fill_null(pa.compute.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
     right = np.flatnonzero(n == dim)
     if not len(right) or not dim:
-        return np.zeros((0, dim)), ok
+        return np.zeros((0, dim), np.float32), ok
     x = lists.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     with np.errstate(all="ignore"):
         norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
     ok[right[good]] = True
-    return x[good] / norm[good][:, None], ok
+    return (x[good] / norm[good][:, None] + 0.0).astype(np.float32), ok
 
 
 def _rows_of_bytes(x: np.ndarray) -> pa.Array:
     """The bytes of each row."""
     x = np.ascontiguousarray(x)
-    size = x[:1].nbytes
+    size = x.itemsize * x.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * size), pa.py_buffer(x)])
 
 
-def _bytes_to_rows(column: pa.Array, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which rows, their vectors) for each dimension in a column of vectors' bytes."""
+    size = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    for k in np.unique(size):
+        at = np.flatnonzero(size == k)
+        part = column.take(pa.array(at)) if len(at) < len(column) else column
+        yield at, np.frombuffer(b"".join(part.to_pylist()), np.float32).reshape(len(at), -1)
+
 
+def _key(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each vector's numbers."""
+    bits = x.view(np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = np.full(len(x), x.shape[1], np.uint64)
+        for k in range(x.shape[1]):
+            h = H.mix(h * np.uint64(0x9E3779B97F4A7C15) + bits[:, k])
+    return h.view(np.int64)
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(table, rows) of each cell, of rows sorted by table and cell; a cell may stretch over many batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
 
-    def whole() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, key, vector) of each row; a row without direction has neither key nor vector."""
+    for batch in batches:
+        n = pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(n):
+            here = batch.filter(pa.array(n == dim))
+            for lo in range(0, here.num_rows, 4000):
+                part = here.slice(lo, 4000)
+                x, ok = _matrix(part.column(1), int(dim))
+                good, bad = part.filter(pa.array(ok)), part.filter(pa.array(~ok))
+                names = ["vec_id", "key", "vector"]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([good.column(0), pa.array(_key(x)), _rows_of_bytes(x)], names)
+                if bad.num_rows:
+                    yield pa.RecordBatch.from_arrays([bad.column(0), pa.nulls(bad.num_rows, pa.int64()), pa.nulls(bad.num_rows, pa.binary())], names)
+
+
+class _Forest:
+    """Which of a cell's held nodes and of those that ask are connected; the roots are held ones."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.up[at]
+        while True:
+            above = self.up[r]
+            if (above == r).all():
+                self.up[at] = r
+                return r
+            r = above
+
+    def join(self, at: np.ndarray) -> None:
+        r = np.unique(self.roots(at))
+        self.up[r] = r[0]
+
+
+def _met(q: np.ndarray, h: np.ndarray, table: int, how: tuple, probing: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the pairs (q, h) of unit vectors that met in ``table`` are to count: those that met in no table before; and of two that both ask for the other's cell, the one that asks ``first``."""
+    blocks, scale, _, probes, seed = how
+    fresh = np.ones(len(q), bool)
+    for t in range(table + 1):
+        a, b = cells(q.astype(np.float64), t, blocks, scale, probes, seed), cells(h.astype(np.float64), t, blocks, scale, probes, seed)
+        same, a_asks, b_asks = a[:, 0] == b[:, 0], (a[:, 1:] == b[:, :1]).any(1), (b[:, 1:] == a[:, :1]).any(1)
+        fresh &= ~(probing & ~first & b_asks) if t == table else ~(same | a_asks | b_asks)
+    return fresh
+
+
+def _meet(batches: Iterator[pa.RecordBatch], table: int, plans: dict[int, tuple], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(key, links, rep, root) of the nodes that have links in a cell, from entries sorted by cell, block, role and key."""
+    cell, held, asking = None, [], []
+    state: dict = {}
+
+    def open_held() -> None:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key, rep, n = t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy()
+        x = next(_matrices(t.column("vector")))[1]  # a cell has vectors of one dimension
+        state.update(key=key, rep=rep, n=n, x=x, links=np.zeros(len(key), np.int64), forest=_Forest(len(key)), out=[])
+        ask(key, rep, n, x, np.zeros(len(key), bool))
+
+    def ask(key: np.ndarray, rep: np.ndarray, n: np.ndarray, x: np.ndarray, probing: np.ndarray) -> None:
+        how, step = plans[x.shape[1]], max(1, (1 << 22) // len(state["key"]))
+        for lo in range(0, len(key), step):
+            s = x[lo : lo + step] @ state["x"].T
+            i, j = np.nonzero(s >= threshold - 1e-5)
+            sure = s[i, j]
+            i = i + lo
+            keep = key[i] != state["key"][j]
+            i, j, sure = i[keep], j[keep], sure[keep]
+            near = np.flatnonzero(sure < threshold + 1e-5)
+            exact = np.ones(len(i), bool)
+            if len(near):
+                a, b = x[i[near]].astype(np.float64), state["x"][j[near]].astype(np.float64)
+                exact[near] = np.einsum("ij,ij->i", a, b) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= threshold - 1e-9
+            i, j = i[exact], j[exact]
+            once = np.zeros(len(i), bool)
+            for k in range(0, len(i), 1 << 14):
+                part = slice(k, k + (1 << 14))
+                if table or probing[i[part]].any():
+                    once[part] = _met(x[i[part]], state["x"][j[part]], table, how, probing[i[part]], key[i[part]] < state["key"][j[part]])
+                else:
+                    once[part] = True
+            i, j = i[once], j[once]
+            if not len(i):
+                continue
+            links = np.bincount(i - lo, weights=state["n"][j], minlength=min(step, len(key) - lo)).astype(np.int64)
+            asked = probing[i]
+            np.add.at(state["links"], j[asked], n[i[asked]])
+            ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+                state["forest"].join(j[a:b])
+            firsts = np.flatnonzero(np.diff(i, prepend=-1))
+            state["out"].append((key[i[firsts]], links[i[firsts] - lo], rep[i[firsts]], j[firsts]))
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not state:
+            return
+        mine = np.flatnonzero(state["links"])
+        state["out"].append((state["key"][mine], state["links"][mine], state["rep"][mine], mine))
+        for key, links, rep, at in state["out"]:
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(links), pa.array(rep), pa.array(state["rep"][state["forest"].roots(at)])], ["key", "links", "rep", "root"])
+        state.clear()
+
+    def flush() -> None:
+        if not state:
+            if not held:
+                return
+            open_held()
+            held.clear()
+        for t in asking:
+            at, x = next(_matrices(t.column("vector")))
+            ask(t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy(), x, t.column("role").to_numpy() == PROBE_ROLE)
+        asking.clear()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table, cell = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (table[1:] != table[:-1])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
-            if held and last != (table[lo], cell[lo]):
-                yield int(last[0]), whole()
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = (table[lo], cell[lo])
-    if held:
-        yield int(last[0]), whole()
-
-
-def _once(a: np.ndarray, b: np.ndarray, probing: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which meetings in the last of the tables given are to count: the first of their pair, and of several ways to meet in one table one.
-
-    a and b: (pair, table, own cell and probes). An own cell shared counts before a probe, and of two probes that of the lesser id (``first``).
-    """
-    same = a[:, :, 0] == b[:, :, 0]
-    a_asks, b_asks = (a[:, :, 1:] == b[:, :, :1]).any(2), (b[:, :, 1:] == a[:, :, :1]).any(2)
-    before = (same | a_asks | b_asks)[:, :-1].any(1)
-    return ~before & (~probing | (~same[:, -1] & (first | ~b_asks[:, -1])))
-
-
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, scale: float = SCALE, probes: int = PROBES, recall: float = RECALL, seed: int = SEED) -> DataFrame:
-    """Pairs (vec_a, vec_b, cosine), vec_a < vec_b, of embeddings of a cosine of ``threshold`` or more; cosines have six decimals.
-
-    The dimension is that of most vectors (of equally many: the larger). Nulls, vectors of another dimension or without
-    direction (empty, all zero, not finite or holding a null) and rows without a vec_id are in no pair. Rows that share a vec_id
-    are one item, as near to another as the nearest of its rows. Other columns are not read. An empty table gives no pairs.
+        at, block, role = (batch.column(k).to_numpy() for k in range(3))
+        change = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
+        cuts = np.flatnonzero(change | (role[1:] != role[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(at)]):
+            if cell != (at[lo], block[lo]):
+                flush()
+                yield from close()
+                held.clear()
+                asking.clear()
+                cell = at[lo], block[lo]
+            if role[lo] == HELD_ROLE:
+                held.append(batch.slice(lo, hi - lo))
+            else:
+                asking.append(batch.slice(lo, hi - lo))
+                if held or state:
+                    flush()
+                else:  # nothing is held here
+                    asking.clear()
+    flush()
+    yield from close()
+
+
+def near_classes(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """(vec_id, class_id, links) for each row: its class and the number of other rows of a cosine of ``threshold`` or more.
+
+    A class is what links connect, and its id is the least vec_id in it. Vectors of each dimension are held against one another. Equal directions are linked; repeated
+    rows are rows like others, and rows that share a vec_id are in one class. A null vector and one without direction (empty, all zero, not finite or holding a
+    null) has no links and its own vec_id as class. A row without a vec_id gives no row. Other columns are not read. An empty table gives no rows. There are no ties.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim"))
-    first = sizes.first()
-    total, dim = (sizes.agg(F.sum("count")).first()[0], first["dim"]) if first else (0, 0)
-    blocks = max(1, int(np.ceil(np.log(max(2, total)) / np.log(ROWS_PER_BLOCK))))
-    ids = rows.agg(F.count_distinct("vec_id")).first()[0]
-    rate = meeting_rate(threshold, dim, blocks, scale, probes, seed) if dim >= 2 else 0.5
-    tables = max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(rate, 0.999)))))
-
-    names = ["cell", "table", "probe", "vec_id", "vector", "cells"]
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                x, ok = _matrix(part.column(1), dim)
-                if not len(x):
-                    continue
-                rows = part.filter(pa.array(ok))
-                every = np.stack([cells(x, t, blocks, scale, probes, seed) for t in range(tables)], axis=1)
-                vector = _rows_of_bytes(rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(x), dim))
-                packed = _rows_of_bytes(every)
-                for t in range(tables):
-                    for p in range(every.shape[2]):
-                        yield pa.RecordBatch.from_arrays([pa.array(every[:, t, p].view(np.int64)), pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), p > 0)), rows.column(0), vector, packed], names)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _by_cell(batches):
-            ids, probe = group.column("vec_id").to_numpy(), group.column("probe").to_numpy(zero_copy_only=False)
-            x = _bytes_to_rows(group.column("vector"), np.float32).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            held = np.flatnonzero(~probe)
-            if not len(held) or len(ids) < 2:
-                continue
-            every = _bytes_to_rows(group.column("cells"), np.uint64).reshape(len(ids), tables, -1)
-            for lo in range(0, len(ids), 256):
-                i, j = np.nonzero(x[lo : lo + 256] @ x[held].T >= threshold - 1e-9)
-                i, j = i + lo, held[j]
-                keep = np.where(probe[i], ids[i] != ids[j], ids[i] < ids[j])
-                i, j = i[keep], j[keep]
-                once = _once(every[i, : table + 1], every[j, : table + 1], probe[i], ids[i] < ids[j])
-                i, j = i[once], j[once]
-                if len(i):
-                    cosine = np.round(np.minimum(np.einsum("ij,ij->i", x[i], x[j]), 1), 6)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(cosine)], ["vec_a", "vec_b", "cosine"])
-
-    entries = rows.mapInArrow(hashed, "cell long, table int, probe boolean, vec_id long, vector binary, cells binary")
-    pairs = entries.repartition("table", "cell").sortWithinPartitions("table", "cell").mapInArrow(meet, "vec_a long, vec_b long, cosine double")
-    # Each pair of rows comes up once; only a vec_id of several rows can bring a pair again.
-    if total > ids:
-        pairs = pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
-    return pairs
+    if probes < 1:
+        raise ValueError("probes must be at least 1")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id is not null")
+    made = rows.mapInArrow(_prepared, "vec_id long, key long, vector binary")
+    nodes = written(made.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector")), "lattice-nodes")
+    sizes = nodes.groupBy((F.length("vector") / 4).cast("int").alias("dim")).count().collect()  # a row for each dimension
+    plans = {r["dim"]: (*plan(r["dim"], r["count"], threshold, probes, recall, seed), probes, seed) for r in sizes}
+    tables = max([0, *(p[2] for p in plans.values())])
+    large: dict[int, int] = {}
+    if sum(r["count"] for r in sizes) > HELD:
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, x in _matrices(batch.column(0)):
+                    blocks, scale, t, _, _ = plans[x.shape[1]]
+                    for k in range(t):
+                        c, n = np.unique(cells(x.astype(np.float64), k, blocks, scale, 0, seed)[:, 0].view(np.int64), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["cell", "n"])
+
+        counts = nodes.select("vector").mapInArrow(own, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        large = {r["cell"]: -(-r["n"] // HELD) for r in counts.where(F.col("n") > HELD).collect()}  # at most tables * nodes / HELD
+
+    names = ["cell", "block", "role", "key", "rep", "n", "vector"]
+
+    def entries_of(table: int):
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            big = np.array(sorted(large), np.int64)
+            for batch in batches:
+                for at, x in _matrices(batch.column(3)):
+                    blocks, scale, t, _, _ = plans[x.shape[1]]
+                    if table >= t:
+                        continue
+                    rows = batch.take(pa.array(at)) if len(at) < batch.num_rows else batch
+                    key = rows.column(0).to_numpy()
+                    every = cells(x.astype(np.float64), table, blocks, scale, probes, seed).view(np.int64)
+                    for p in range(every.shape[1]):
+                        cell = every[:, p]
+                        parts = np.ones(len(cell), np.int64)
+                        if len(big):
+                            for c in np.intersect1d(cell, big):
+                                parts[cell == c] = large[int(c)]
+                        home = key % parts
+                        for b in range(int(parts.max())):
+                            here = np.flatnonzero(parts > b)
+                            role = np.where(p > 0, PROBE_ROLE, np.where(home[here] == b, HELD_ROLE, OWN_ROLE)).astype(np.int8)
+                            some = rows.take(pa.array(here)) if len(here) < len(cell) else rows
+                            yield pa.RecordBatch.from_arrays([pa.array(cell[here]), pa.array(np.full(len(here), b, np.int32)), pa.array(role), *some.columns], names)
+
+        return entries
+
+    found = []
+    for t in range(tables):
+        entries = nodes.select("key", "rep", "n", "vector").mapInArrow(entries_of(t), "cell long, block int, role byte, key long, rep long, n long, vector binary")
+        by = entries.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+        found.append(written(by.mapInArrow(lambda batches, t=t: _meet(batches, t, plans, threshold), "key long, links long, rep long, root long"), "lattice-found"))
+    ids = written(made.select("vec_id", "key"), "lattice-ids")
+    total = ids.count()
+    links = nodes.select("key", "rep", "n", F.lit(0).cast("long").alias("links"))
+    edges = spark.createDataFrame([], "a long, b long")
+    for f in found:
+        links = links.unionByName(f.select("key", F.lit(None).cast("long").alias("rep"), F.lit(0).cast("long").alias("n"), "links"))
+        edges = edges.unionByName(f.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    links = links.groupBy("key").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.sum("links").alias("links"))
+    # Rows of one vec_id with several vectors
+    several = ids.groupBy("vec_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("vec_id")
+    edges = edges.unionByName(ids.join(several, "vec_id").join(nodes.select("key", "rep"), "key").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+    classes = components(edges)
+    by_key = written(links.join(classes, links["rep"] == classes["node"], "left").select("key", "n", F.coalesce("least", "rep").alias("class_id"), (F.col("links") + F.col("n") - 1).alias("links")), "lattice-classes")
+    dropped(nodes, *found)
+    return joined(ids.where("key is not null"), by_key, "key", "n", total).select("vec_id", "class_id", "links").unionByName(ids.where("key is null").select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("links")))

@@ -22,7 +22,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_neighbours.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return lattice_neighbours.near_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,46 +37,82 @@ def vectors(seed, n, groups, noise, dim=24):
     return x.astype(np.float32)
 
 
-def brute(x, t, ids=None):
+def brute(x, t):
+    """Links and least connected row of each row."""
     x = x.astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = np.nonzero(np.triu(x @ x.T >= t - 1e-9, 1))
-    return {(int(a), int(b)) for a, b in zip(i, j)}
+    near = x @ x.T >= t - 1e-9
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        new = np.array([min(least[i], least[near[i]].min(initial=len(x))) for i in range(len(x))])
+        if (new == least).all():
+            return near.sum(1), least
+        least = new
 
 
 def frame(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
 
 
+def classes(df):
+    rows = df.collect()
+    got = {r["vec_id"]: (r["links"], r["class_id"]) for r in rows}
+    assert len(rows) == len(got)
+    return np.array([got[i][0] for i in range(len(got))]), np.array([got[i][1] for i in range(len(got))])
+
+
 @pytest.mark.parametrize(("noise", "t"), [(0.05, 0.95), (0.25, 0.9), (0.3, 0.95)])
 def test_recall_and_precision_against_brute_force(spark, noise, t):
     x = vectors(1, 700, 12, noise)
-    rows = N.near_pairs(frame(spark, x), t).collect()
-    got, want = {(r["vec_a"], r["vec_b"]) for r in rows}, brute(x, t)
-    assert len(rows) == len(got)  # each pair once
-    assert got <= want
-    assert len(got) >= 0.95 * len(want)
-
-
-def test_several_blocks_for_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(N, "ROWS_PER_BLOCK", 30)
-    x = vectors(2, 500, 9, 0.1)
-    rows = N.near_pairs(frame(spark, x), 0.95).collect()
-    got, want = {(r["vec_a"], r["vec_b"]) for r in rows}, brute(x, 0.95)
-    assert got <= want and len(got) >= 0.95 * len(want) and len(rows) == len(got)
+    (links, of), (want, least) = classes(N.near_classes(frame(spark, x), t)), brute(x, t)
+    assert (links <= want).all() and links.sum() >= 0.97 * want.sum()
+    assert (of >= least).all() and (least[of] == least).all() and (of == least).mean() >= 0.95
+    assert ((links == 0) <= (of == np.arange(len(x)))).all()
+
+
+def test_cells_that_are_divided_lose_nothing(spark, monkeypatch):
+    x = vectors(2, 500, 3, 0.1)
+    whole = classes(N.near_classes(frame(spark, x), 0.95))
+    monkeypatch.setattr(N, "HELD", 20)
+    parted = classes(N.near_classes(frame(spark, x), 0.95))
+    assert (whole[0] == parted[0]).all() and (whole[1] == parted[1]).all()
+    assert whole[0].sum() >= 0.97 * brute(x, 0.95)[0].sum()
+
+
+@pytest.mark.parametrize("how", [(1, 1.4, 5), (2, 2.4, 6), (3, 2.8, 9)])
+def test_every_plan_finds_the_pairs(spark, monkeypatch, how):
+    """Blocks, scales and tables of larger inputs, on pairs of about the threshold's cosine."""
+    rng = np.random.default_rng(4)
+    a, z = rng.standard_normal((2, 300, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.952 * a + np.sqrt(1 - 0.952**2) * z]).astype(np.float32)
+    monkeypatch.setattr(N, "plan", lambda *_: how)
+    links, want = classes(N.near_classes(frame(spark, x), 0.95))[0], brute(x, 0.95)[0]
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum()
+
+
+def test_a_plan_meets_its_recall_at_any_size():
+    for n in (1000, 10**6, 10**9):
+        blocks, scale, tables = N.plan(64, n)
+        assert 1 - (1 - N.meeting_rate(0.95, 64, blocks, scale, seed=9)) ** tables > 0.97
+    assert N.plan(64, 1)[2] == N.plan(1, 100)[2] == 0
 
 
 def test_odd_vectors_and_repeats(spark):
     a, b = [1.0, 2.0, 3.0], [-1.0, 0.5, 0.0]
     nan = float("nan")
-    rows = [(1, a), (2, a), (3, [2.0, 4.0, 6.0]), (4, b), (5, None), (6, []), (7, [0.0, 0.0, 0.0]), (8, [nan, 1.0, 1.0]), (9, [1.0, None, 2.0]), (10, [1.0, 2.0]), (None, a), (1, a), (4, a)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("table", "cell", "probe", "dim", "count")})
-    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in N.near_pairs(df).collect()}
-    assert got == dict.fromkeys(itertools.combinations((1, 2, 3, 4), 2), 1.0)
-    assert N.near_pairs(df.limit(0)).collect() == []
-    assert N.near_pairs(spark.createDataFrame([(1, []), (2, None)], "vec_id long, embedding array<float>")).collect() == []
+    rows = [(1, a), (2, a), (3, [2.0, 4.0, 6.0]), (4, b), (5, None), (6, []), (7, [0.0, 0.0, 0.0]), (8, [nan, 1.0, 1.0]), (9, [1.0, None, 2.0]), (10, [1.0, 2.0]), (11, [1.01, 2.0]), (None, a), (1, a), (4, a), (12, [-5.0]), (13, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("table", "cell", "key", "rep", "n", "links", "node", "least", "vector", "class_id")})
+    got = sorted((r["vec_id"], r["class_id"], r["links"]) for r in N.near_classes(df).collect())
+    # 4 has two vectors: one alone, one equal to those of 1, 2 and 3.
+    assert got == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 1, 0), (4, 1, 4), *((k, k, 0) for k in range(5, 10)), (10, 10, 1), (11, 10, 1), (12, 12, 1), (13, 12, 1)]
+    assert N.near_classes(df.limit(0)).collect() == []
+    assert sorted(map(tuple, N.near_classes(spark.createDataFrame([(1, []), (2, None)], "vec_id long, embedding array<float>")).collect())) == [(1, 1, 0), (2, 2, 0)]
     with pytest.raises(ValueError):
-        N.near_pairs(df, 0)
+        N.near_classes(df, 0)
 
 
 # Archives

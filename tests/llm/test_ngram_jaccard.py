@@ -7,6 +7,7 @@ import pytest
 
 from tessera.llm import _hashing as H
 from tessera.llm import ngram_jaccard as J
+from tessera.llm.components import components
 
 from .conftest import SCHEMA, near_copy, prose, words_of
 
@@ -87,7 +88,7 @@ def test_one_of_each_group_stays(docs):
 
 def test_components_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (300, 200)]
-    got = dict(J.components(spark.createDataFrame(links, "a long, b long")).collect())
+    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 1 for i in range(2, 61)} | {101: 100, 102: 100, 300: 200}
 
 
