@@ -66,20 +66,33 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts)))
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, slice_: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``; bytes are taken in slices, and the value of a word that goes on in the next slice is carried into it."""
     raw, at = flat(pc.utf8_lower(texts))
     if not len(raw):
         return np.zeros(0, dtype=U), np.zeros(len(at) - 1, dtype=np.int64)
-    inside = ~_SPACE[raw]
-    first = np.zeros(len(raw) + 1, dtype=bool)
-    first[at] = True  # a text's first byte never goes on with the word before it
-    start = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
-    end = np.flatnonzero(inside & (first[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+    values, lengths, starts = [], [], []
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, dtype=U)
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-        h = mix((sums[end] - sums[start]) * _power(_INVERSE, len(raw) + 1)[start] + (end - start).astype(U))
-    return h, np.diff(np.searchsorted(start, at))
+        for lo in range(0, len(raw), slice_):
+            part = raw[lo : lo + slice_]
+            inside = ~_SPACE[part]
+            first = np.zeros(len(part) + 1, dtype=bool)
+            first[at[np.searchsorted(at, lo) : np.searchsorted(at, lo + len(part), "right")] - lo] = True  # a text's first byte never goes on with the word before it
+            start = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
+            end = np.flatnonzero(inside & (first[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+            sums = np.zeros(len(part) + 1, dtype=U)
+            np.cumsum(_BYTE[part] * _power(_BASE, len(part)), out=sums[1:])
+            value, length = (sums[end] - sums[start]) * _power(_INVERSE, len(part) + 1)[start], (end - start).astype(U)
+            if lo and inside[0] and not first[0] and not _SPACE[raw[lo - 1]]:
+                k = next(i for i in reversed(range(len(values))) if len(values[i]))
+                values[k][-1] += value[0] * U(pow(_BASE, int(lengths[k][-1]), 2**64))
+                lengths[k][-1] += length[0]
+                value, length, start = value[1:], length[1:], start[1:]
+            values.append(value)
+            lengths.append(length)
+            starts.append(start + lo)
+        h = mix(np.concatenate(values) + np.concatenate(lengths))
+    return h, np.diff(np.searchsorted(np.concatenate(starts), at))
 
 
 def join_hashes(parts: list[np.ndarray]) -> np.ndarray:

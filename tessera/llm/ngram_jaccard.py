@@ -1,10 +1,10 @@
-"""Operator 7: all pairs of documents whose sets of word n-grams have a Jaccard similarity of at least t.
+"""Operator 7: links between documents whose sets of word n-grams have a Jaccard similarity of at least t, as classes and numbers of links.
 
 An exact set-similarity self-join. Every gram has a place in one total order, rare ones first; two sets of
 similarity t or more share a gram among the first |x| - ceil(t |x|) + 1 of each. The order follows a histogram
 of all grams of the corpus over a fixed number of hash cells: how well it tells rare from frequent decides only
-how many candidates arise, never which pairs are found. Sets that are equal are joined once and expanded at the
-end. Candidates come from an equi-join on prefix grams under the length and positional filters; a pair goes
+how many candidates arise, never which pairs are found. Equal sets are one, with the number of
+its rows; copies are never expanded into pairs. Candidates come from an equi-join on prefix grams under the length and positional filters; a pair goes
 on from the first of its common prefix grams as far as two carried predecessors tell, and is made distinct. A suffix
 filter compares counts of grams by hash range, which are a sixteenth as large as the sets; what passes is verified once by exact intersection.
 """
@@ -17,20 +17,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _hashing as H
-from tessera.llm._shared import dropped, written
+from tessera.llm._shared import dropped, joined, written
 from tessera.llm.components import components
 
 N, THRESHOLD = 3, 0.5
 CELL_BITS, CHUNK_BITS = 22, 16
-#: Candidates' documents are found by a bit array of at most so many bits; if they are more, by the join alone.
+#: Bits of the arrays (16 MB) that tell most documents apart from copies or candidates before a join does so exactly.
 FILTER_BITS = 1 << 27
-#: So many ids of exact copies at most are broadcast to leave them out; if they are more, by a join.
-BROADCAST_IDS = 4_000_000
-PAIRS_PER_GROUP = 20_000
+PAIRS_PER_GROUP, PARTS = 20_000, 16
 
 
 def _as_signed(x: np.ndarray) -> np.ndarray:
@@ -38,31 +37,30 @@ def _as_signed(x: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over all texts: a fingerprint (m1, m2, size) of each document's set, and each task's counts of grams by hash cell."""
+    """One pass over all texts: a hash of each row's set (null for one without words), and each task's counts of grams by hash cell."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-        names = ["doc_id", "m1", "m2", "size", "chunk", "cells"]
+        names = ["doc_id", "set", "chunk", "cells"]
         for batch in batches:
             for first, part in H.pieces(batch.column(1)):
                 sets = list(H.ngram_sets(part, n))
                 lens = np.array([len(s) for s in sets])
-                marks = np.zeros((2, len(sets)), dtype=np.uint64)
+                marks = np.zeros((3, len(sets)), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for i, s in enumerate(sets):
-                        marks[:, i] = s.sum(), H.mix(s).sum()
+                        marks[:, i] = len(s), s.sum(), H.mix(s).sum()
                 if lens.any():
                     cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
                 none = pa.nulls(len(sets))
-                arrays = [batch.column(0).slice(first, len(sets)), pa.array(_as_signed(marks[0])), pa.array(_as_signed(marks[1])), pa.array(lens.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(lens > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(_as_signed(H.join_hashes(list(marks))), mask=lens == 0), none.cast(pa.int32()), none.cast(pa.binary())], names)
         pack = zstandard.ZstdCompressor(level=1)
         for k, part in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
-                none = pa.nulls(1)
-                yield pa.RecordBatch.from_arrays([*(none.cast(pa.int64()) for _ in range(3)), none.cast(pa.int32()), pa.array([k], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], names)
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([k], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(survey, "doc_id long, m1 long, m2 long, size int, chunk int, cells binary")
+    return docs.mapInArrow(survey, "doc_id long, set long, chunk int, cells binary")
 
 
 def _histogram(survey: DataFrame) -> np.ndarray:
@@ -81,9 +79,32 @@ def _histogram(survey: DataFrame) -> np.ndarray:
     return cells
 
 
-def _postings(docs: DataFrame, n: int, t: float, cells: np.ndarray) -> DataFrame:
+def _bit_array(ids: DataFrame) -> tuple[int, Broadcast]:
+    """A bit array of at most FILTER_BITS with the bits of the ids set: what has no bit there is surely none of them, what has one may be another."""
+    ids = ids.toDF("id")
+    bits = min(FILTER_BITS, 1 << max(10, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
+    cell = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.select(F.shiftright(cell, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(bits >> 6, dtype=np.int64)
+    words[rows["at"].to_numpy()] = rows["bit"].to_numpy()
+    return bits, ids.sparkSession.sparkContext.broadcast(words.tobytes())
+
+
+def _with_bit(docs: DataFrame, of: tuple[int, Broadcast], wanted: bool) -> DataFrame:
+    """The rows (doc_id, text) whose id has a bit in the array, or, if not ``wanted``, those whose id has none."""
+    bits, shared = of
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(shared.value, dtype=np.int64)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(((words[at >> 6] >> (at & 63)) & 1 == 1) == wanted))
+
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInArrow(pick, "doc_id long, text string")
+
+
+def _postings(docs: DataFrame, n: int, t: float, shared: Broadcast) -> DataFrame:
     """gram, rep, place (size * 2**32 + position), the two grams before it in the prefix as 32 bits each; rare grams come first."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(shared.value, dtype=np.uint8)
@@ -103,11 +124,11 @@ def _postings(docs: DataFrame, n: int, t: float, cells: np.ndarray) -> DataFrame
                 ids = np.repeat(batch.column(0).slice(first, len(k)).to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(_as_signed(g)), pa.array(ids), pa.array(place), pa.array(_as_signed(one << np.uint64(32) | two))], ["gram", "rep", "place", "before"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(prefixes, "gram long, rep long, place long, before long")
+    return docs.mapInArrow(prefixes, "gram long, rep long, place long, before long")
 
 
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """(a, bs): with each a all b > a that it has to be held against, each once."""
+    """(a, part, bs): with each a all b > a that it has to be held against, each once; by the hash of b in PARTS lists at most."""
     a = postings.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "place", "before")))
     b = postings.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "place", "before")))
     size = {s: F.shiftright(f"place_{s}", 32) for s in "ab"}
@@ -118,7 +139,7 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
     need = F.ceil(F.lit(t / (1 + t)) * (size["a"] + size["b"]) - F.lit(1e-9))
     fits = (F.least(size["a"], size["b"]) >= F.lit(t) * F.greatest(size["a"], size["b"]) - F.lit(1e-9)) & (F.least(size["a"] - pos["a"], size["b"] - pos["b"]) >= need)
     seen = ((one["a"] != 0) & ((one["a"] == one["b"]) | (one["a"] == two["b"]))) | ((two["a"] != 0) & ((two["a"] == two["b"]) | (two["a"] == one["b"])))
-    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).groupBy(F.col("rep_a").alias("a")).agg(F.collect_set("rep_b").alias("bs"))
+    return a.join(b, "gram").where((F.col("rep_a") < F.col("rep_b")) & fits & ~seen).groupBy(F.col("rep_a").alias("a"), F.pmod(F.xxhash64("rep_b"), F.lit(PARTS)).cast("int").alias("part")).agg(F.collect_set("rep_b").alias("bs"))
 
 
 def _bins(grams: np.ndarray) -> bytes:
@@ -167,25 +188,13 @@ def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact:
     """Of rows (a, bs, group) those pairs that pass the suffix filter, or, if exact, those that are similar; ``scores`` go with the bs.
 
     What each group needs of its documents is made from their texts. Most other documents are left out before
-    the shuffle by a bit array, as long as that is small.
+    the shuffle by a bit array.
     """
     wanted = written(pairs.select("group", F.explode(F.concat(F.array("a"), "bs")).alias("rep")).distinct(), "ngram-wanted")
-    n_wanted = wanted.count()
-    bits = 1 << max(10, int(np.ceil(np.log2(16 * max(1, n_wanted)))))
-    shared = None
-    if bits <= FILTER_BITS:
-        cell = F.pmod(F.xxhash64("rep"), F.lit(bits))
-        rows = wanted.select(F.shiftright(cell, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-        words = np.zeros(bits >> 6, dtype=np.int64)
-        words[rows["at"].to_numpy()] = rows["bit"].to_numpy()
-        shared = docs.sparkSession.sparkContext.broadcast(words.tobytes())
-    cell = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    some = _with_bit(docs, _bit_array(wanted.select("rep").distinct()), True)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if shared is not None:
-                words, at = np.frombuffer(shared.value, dtype=np.int64), batch.column(2).to_numpy()
-                batch = batch.filter(pa.array((words[at >> 6] >> (at & 63)) & 1 == 1))
             for first, part in H.pieces(batch.column(1)):
                 sets = list(H.ngram_sets(part, n))
                 data = pa.array([_packed(s) if exact else _bins(s) for s in sets], pa.binary())
@@ -193,24 +202,22 @@ def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(size), data], ["rep", "size", "data"]).filter(pa.array(size > 0))
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        of: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for rep, size, data in zip(right["rep"].to_pylist(), right["size"].to_pylist(), right["data"].to_pylist()):
-            of.setdefault(rep, []).append((size, _unpacked(data) if exact else _unbin(data)))
+        of = {rep: (size, _unpacked(data) if exact else _unbin(data)) for rep, size, data in zip(right["rep"].to_pylist(), right["size"].to_pylist(), right["data"].to_pylist())}
         out: dict[str, list] = {"a": [], "bs": [], "scores": [], "group": []}
         for a, bs, group in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["group"].to_pylist()):
             kept: dict[int, float] = {}
-            for n_x, x in of.get(a, ()):
-                for b in bs:
-                    for n_y, y in of.get(b, ()):
-                        both = _common(x, y) if exact else _most_common(x, y)
-                        if both >= threshold / (1 + threshold) * (n_x + n_y) - 1e-9:
-                            kept[b] = max(kept.get(b, 0.0), both / max(1, n_x + n_y - both) if exact else 1.0)
+            n_x, x = of[a]
+            for b in bs:
+                n_y, y = of[b]
+                both = _common(x, y) if exact else _most_common(x, y)
+                if both >= threshold / (1 + threshold) * (n_x + n_y) - 1e-9:
+                    kept[b] = both / max(1, n_x + n_y - both) if exact else 1.0
             if kept:
                 for name, v in zip(out, (a, list(kept), list(kept.values()), group)):
                     out[name].append(v)
         return pa.table({"a": pa.array(out["a"], pa.int64()), "bs": pa.array(out["bs"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64())), "group": pa.array(out["group"], pa.int32())})
 
-    data = wanted.join(docs.select(F.col("doc_id").cast("long").alias("rep"), "text", cell.alias("cell")).where("rep is not null").mapInArrow(make, "rep long, size int, data binary"), "rep")
+    data = wanted.join(some.mapInArrow(make, "rep long, size int, data binary"), "rep")
     made = written(pairs.groupBy("group").cogroup(data.groupBy("group")).applyInArrow(check, "a long, bs array<long>, scores array<double>, group int"), "ngram-checked")
     dropped(wanted)
     return made
@@ -223,56 +230,78 @@ def _in_groups(candidates: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("label").agg(F.ceil(F.sum(F.size("bs")) / PAIRS_PER_GROUP).alias("parts"))
     total = candidates.agg(F.sum(F.size("bs"))).first()[0] or 0
     groups = max(1, -(-total // PAIRS_PER_GROUP))
-    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    part = F.pmod(F.xxhash64("a", "part"), F.col("parts"))
     return labelled.join(sizes, "label").select("a", "bs", F.pmod(F.xxhash64("label", part), F.lit(groups)).cast("int").alias("group"))
 
 
-def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): classes (rep, ids) of documents with equal sets of grams; pairs (a, b, jaccard) of representatives."""
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For docs (doc_id, text) of ids that differ: (rows, sets, pairs) with (doc_id, set) of each row, (set, rep, n) of each set of grams, and (a, b, jaccard) of representatives."""
     survey = written(_survey(docs, n), "ngram-survey")
-    classes = written(survey.where("chunk is null").groupBy("m1", "m2", "size").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids")).select("rep", "ids"), "ngram-classes")
-    copies = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("__copy"), "rep").where("__copy != rep").select("__copy").distinct()
-    copies = copies.join(classes.select(F.col("rep").alias("__copy")), "__copy", "left_anti")
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    one_each = docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
-    candidates = written(_candidates(_postings(one_each, n, threshold, _histogram(survey)), threshold), "ngram-candidates")
+    rows = written(survey.where("chunk is null").select("doc_id", "set"), "ngram-rows")
+    sets = written(rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "ngram-sets")
+    total = rows.count()
+    copies = written(joined(rows.where("set is not null"), sets.where("n > 1"), "set", "n", total).where("doc_id != rep").select("doc_id"), "ngram-copies")
+    bits = _bit_array(copies)
+    histogram = docs.sparkSession.sparkContext.broadcast(_histogram(survey).tobytes())
+    dropped(survey)
+    # Of copies one is taken. What has no bit is none; the others, which are few, are held against the copies' ids.
+    postings = _postings(_with_bit(docs, bits, False), n, threshold, histogram).unionByName(_postings(_with_bit(docs, bits, True).join(copies, "doc_id", "left_anti"), n, threshold, histogram))
+    candidates = written(_candidates(postings, threshold), "ngram-candidates")
     groups = written(_in_groups(candidates), "ngram-groups")
-    dropped(survey, candidates)
-    # A doc_id that several rows share may belong to several classes; then it is as similar as the most similar of its rows.
+    dropped(candidates, copies)
     likely = _checked(docs, groups, n, threshold, exact=False)
+    dropped(groups)
     similar = _checked(docs, likely.drop("scores"), n, threshold, exact=True)
-    dropped(groups, likely)
-    return classes, similar.select("a", F.explode(F.arrays_zip("bs", "scores")).alias("s")).select("a", F.col("s.bs").alias("b"), F.col("s.scores").alias("jaccard"))
+    dropped(likely)
+    pairs = written(similar.select("a", F.explode(F.arrays_zip("bs", "scores")).alias("s")).select("a", F.col("s.bs").alias("b"), F.col("s.scores").alias("jaccard")), "ngram-pairs")
+    dropped(similar)
+    return rows, sets, pairs
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs (doc_a, doc_b, jaccard), doc_a < doc_b, of documents of similarity ``threshold`` or more.
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) for each row: its class and the number of other rows of similarity ``threshold`` or more.
 
-    Words are runs of anything but ASCII white space, in lower case; a text of fewer than n words is one gram of all its
-    words. A text without words and a row without a doc_id are in no pair. Rows that share a doc_id are one document,
-    which is as similar to another as the most similar of its rows. Other columns are not read. The order of
-    equally rare grams follows their hashes, so ties change nothing. An empty table gives no pairs.
+    A class is what links connect, and its id is the least doc_id in it. Words are runs of anything but ASCII white space, in lower case; a text of fewer than n words
+    is one gram of all its words. A text without words has no links and its own doc_id as class; a row without a doc_id gives no row. Rows that
+    share a doc_id each count and are in one class. Texts of any length are read whole. Other columns are not read. The order of equally rare grams follows their hashes, so ties change nothing.
+    An empty table gives no rows.
     """
-    classes, pairs = similar_classes(docs, n, threshold)
-    left, right = classes.select(F.col("rep").alias("a"), F.col("ids").alias("ids_a")), classes.select(F.col("rep").alias("b"), F.col("ids").alias("ids_b"))
-    equal = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard"))
-    near = pairs.join(left, "a").join(right, "b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
-    found = equal.where("x < y").unionByName(near.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")).select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard")
-    # Each pair comes once, unless several rows share a doc_id.
-    ids = classes.select(F.explode("ids").alias("id")).groupBy("id").count()
-    return found if ids.where("count > 1").isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    names = None
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        names = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "ngram-named")
+        docs = names.select(F.col("row").alias("doc_id"), "text")
+    rows, sets, pairs = similar_sets(docs, n, threshold)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.join(sets.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    by_set = sets.join(links, "rep", "left").select("set", "rep", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"))
+    total = rows.count()
+
+    def labelled(classes: DataFrame, label: str) -> DataFrame:
+        """Rows with the least node of what their set's representative is connected to."""
+        of = written(by_set.join(classes, by_set["rep"] == classes["node"], "left").select("set", "n", F.coalesce("least", "rep").alias(label), "links"), "ngram-classes")
+        return joined(rows.where("set is not null"), of, "set", "n", total).select("doc_id", label, "links").unionByName(rows.where("set is null").select("doc_id", F.col("doc_id").alias(label), F.lit(0).cast("long").alias("links")))
+
+    classes = components(pairs)
+    if names is None:
+        made = labelled(classes, "class_id")
+        dropped(pairs, sets)
+        return made
+    # Classes are those of rows so far; rows of one doc_id bring theirs together.
+    named = written(labelled(classes, "label").join(names.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id").select("name", "label", "links"), "ngram-labelled")
+    least = named.groupBy("label").agg(F.min("name").alias("least_name"), F.count("*").alias("n"))
+    ends = joined(named, written(least, "ngram-least"), "label", "n", total)
+    merged = components(ends.where("name != least_name").select(F.col("name").alias("a"), F.col("least_name").alias("b")))
+    return ends.join(merged, ends["name"] == merged["node"], "left").select(F.col("name").alias("doc_id"), F.coalesce("least", "name").alias("class_id"), "links")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without the near duplicates: of each group that pairs connect, the one of the least doc_id stays.
+    """The documents without the near duplicates: of each class of ``near_classes`` the one of the least doc_id stays.
 
-    All columns stay as they are, and so do rows without a doc_id or without words. Rows that share a doc_id stay or go together, but
-    equal rows of one doc_id stay as often as they come.
+    All columns stay as they are, and so do rows without a doc_id or without words, very long texts too. Rows that share a doc_id stay or go together, but
+    equal rows of one doc_id stay as often as they come. An empty table stays empty.
     """
-    classes, pairs = similar_classes(docs, n, threshold)
-    links = pairs.select("a", "b").unionByName(classes.where(F.size("ids") > 1).select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a < b"))
-    gone = components(links).where("node != least").select(F.col("node").alias("__doc"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")
+    gone = near_classes(docs, n, threshold).where("doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")

@@ -46,7 +46,7 @@ def op6_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.jaccard_pairs(documents(spark, sf_dir))
+    return ngram_jaccard.near_classes(documents(spark, sf_dir))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ s AS (
 SELECT doc_id, count(*) AS n_tokens, round(sum(s), 3) AS log_score, round(sum(s) / count(*), 6) AS mean_log_score
 FROM s GROUP BY doc_id""",
     "op7_ngram_jaccard_join": f"""
-WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
                                       WHEN len(w) >= 1 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS gram
@@ -129,10 +129,14 @@ g AS (
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 h AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared
-  FROM g a JOIN s x ON a.doc_id = x.doc_id JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id JOIN s y ON b.doc_id = y.doc_id
+  FROM g a JOIN s x ON a.doc_id = x.doc_id JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id JOIN s y ON b.doc_id = y.doc_id
   WHERE least(x.n, y.n) >= {ngram_jaccard.THRESHOLD} * greatest(x.n, y.n) - 1e-9
-  GROUP BY 1, 2)
-SELECT doc_a, doc_b, shared / CAST(x.n + y.n - shared AS DOUBLE) AS jaccard
-FROM h JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id
-WHERE shared >= {ngram_jaccard.THRESHOLD} / (1 + {ngram_jaccard.THRESHOLD}) * (x.n + y.n) - 1e-9""",
+  GROUP BY 1, 2),
+p AS (
+  SELECT doc_a, doc_b FROM h JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id
+  WHERE shared >= {ngram_jaccard.THRESHOLD} / (1 + {ngram_jaccard.THRESHOLD}) * (x.n + y.n) - 1e-9),
+c AS (SELECT doc_id, doc_id AS near FROM documents WHERE doc_id IS NOT NULL UNION SELECT c.doc_id, p.doc_b FROM c JOIN p ON c.near = p.doc_a),
+l AS (SELECT doc_a, count(*) AS links FROM p GROUP BY 1)
+SELECT c.doc_id, min(c.near) AS class_id, CAST(coalesce(any_value(l.links), 0) AS BIGINT) AS links
+FROM c LEFT JOIN l ON c.doc_id = l.doc_a GROUP BY c.doc_id""",
 }

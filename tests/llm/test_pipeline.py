@@ -15,18 +15,9 @@ def test_stages_work_on_what_came_before(spark, sf_dir):
     verdict = {r["doc_id"]: r["accepted"] for r in language_id.identify(docs, model).collect()}
     assert sorted(one) == sorted(r for r in rows if verdict[r[0]])
 
-    least = {r[0]: r[0] for r in one}
-
-    def root(x):
-        while least[x] != x:
-            x = least[x]
-        return x
-
-    for a, b in brute([r[:2] for r in one], ngram_jaccard.N, ngram_jaccard.THRESHOLD):
-        a, b = sorted((root(a), root(b)))
-        least[b] = a
+    of = {a: c for a, c, _ in brute([r[:2] for r in one], ngram_jaccard.N, ngram_jaccard.THRESHOLD)}
     two = [tuple(r) for r in P.drop_near_duplicates(spark, spark.createDataFrame(one, docs.schema), sf_dir).collect()]
-    assert sorted(two) == sorted(r for r in one if root(r[0]) == r[0])
+    assert sorted(two) == sorted(r for r in one if of[r[0]] == r[0])
 
     net, want = secret_scan.train(secret_scan.findings()), []
     for i, text, lang, source, n in two:
