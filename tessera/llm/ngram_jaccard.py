@@ -11,7 +11,7 @@ filter compares counts of grams by hash range, which are a sixteenth as large as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,8 +90,8 @@ def _bit_array(ids: DataFrame) -> tuple[int, Broadcast]:
     return bits, ids.sparkSession.sparkContext.broadcast(words.tobytes())
 
 
-def _with_bit(docs: DataFrame, of: tuple[int, Broadcast], wanted: bool) -> DataFrame:
-    """The rows (doc_id, text) whose id has a bit in the array, or, if not ``wanted``, those whose id has none."""
+def _with_bit(docs: DataFrame, of: tuple[int, Broadcast], wanted: bool, then: Callable | None = None, schema: str = "doc_id long, text string") -> DataFrame:
+    """The rows (doc_id, text) whose id has a bit in the array, or, if not ``wanted``, those whose id has none; ``then`` works on their batches in the same process."""
     bits, shared = of
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +100,14 @@ def _with_bit(docs: DataFrame, of: tuple[int, Broadcast], wanted: bool) -> DataF
             at = batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc_id", "text"]).filter(pa.array(((words[at >> 6] >> (at & 63)) & 1 == 1) == wanted))
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInArrow(pick, "doc_id long, text string")
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInArrow((lambda batches: then(pick(batches))) if then else pick, schema)
 
 
-def _postings(docs: DataFrame, n: int, t: float, shared: Broadcast) -> DataFrame:
-    """gram, rep, place (size * 2**32 + position), the two grams before it in the prefix as 32 bits each; rare grams come first."""
+POSTING = "gram long, rep long, place long, before long"
+
+
+def _postings(n: int, t: float, shared: Broadcast) -> Callable:
+    """Makes of batches (doc_id, text): gram, rep, place (size * 2**32 + position), the two grams before it in the prefix as 32 bits each; rare grams come first."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(shared.value, dtype=np.uint8)
@@ -124,7 +127,7 @@ def _postings(docs: DataFrame, n: int, t: float, shared: Broadcast) -> DataFrame
                 ids = np.repeat(batch.column(0).slice(first, len(k)).to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(_as_signed(g)), pa.array(ids), pa.array(place), pa.array(_as_signed(one << np.uint64(32) | two))], ["gram", "rep", "place", "before"])
 
-    return docs.mapInArrow(prefixes, "gram long, rep long, place long, before long")
+    return prefixes
 
 
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
@@ -191,7 +194,6 @@ def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact:
     the shuffle by a bit array.
     """
     wanted = written(pairs.select("group", F.explode(F.concat(F.array("a"), "bs")).alias("rep")).distinct(), "ngram-wanted")
-    some = _with_bit(docs, _bit_array(wanted.select("rep").distinct()), True)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, exact:
                     out[name].append(v)
         return pa.table({"a": pa.array(out["a"], pa.int64()), "bs": pa.array(out["bs"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64())), "group": pa.array(out["group"], pa.int32())})
 
-    data = wanted.join(some.mapInArrow(make, "rep long, size int, data binary"), "rep")
+    data = wanted.join(_with_bit(docs, _bit_array(wanted.select("rep").distinct()), True, make, "rep long, size int, data binary"), "rep")
     made = written(pairs.groupBy("group").cogroup(data.groupBy("group")).applyInArrow(check, "a long, bs array<long>, scores array<double>, group int"), "ngram-checked")
     dropped(wanted)
     return made
@@ -245,7 +247,8 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     histogram = docs.sparkSession.sparkContext.broadcast(_histogram(survey).tobytes())
     dropped(survey)
     # Of copies one is taken. What has no bit is none; the others, which are few, are held against the copies' ids.
-    postings = _postings(_with_bit(docs, bits, False), n, threshold, histogram).unionByName(_postings(_with_bit(docs, bits, True).join(copies, "doc_id", "left_anti"), n, threshold, histogram))
+    make = _postings(n, threshold, histogram)
+    postings = _with_bit(docs, bits, False, make, POSTING).unionByName(_with_bit(docs, bits, True).join(copies, "doc_id", "left_anti").mapInArrow(make, POSTING))
     candidates = written(_candidates(postings, threshold), "ngram-candidates")
     groups = written(_in_groups(candidates), "ngram-groups")
     dropped(candidates, copies)
