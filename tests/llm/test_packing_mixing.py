@@ -90,19 +90,19 @@ def brute_mix(rows, weights, block_tokens, shard_rows, share, seed):
     for key, stream in streams.items():
         before = 0
         for _, i, n in sorted(stream):
-            blocks.setdefault((*key, before // block_tokens), []).append(i)
+            blocks[i] = before // block_tokens
             before += n
     kept = set()
-    for shard in {k[0] for k in blocks}:
-        own = collections.defaultdict(list)
-        for sh, s, b in blocks:
-            if sh == shard:
-                own[s].append(b)
-        seats = sorted((-weights.get(s, 1.0) / (2 * k + 1), s, k) for s, bs in own.items() for k in range(len(bs)))
+    for shard in {k[0] for k in streams}:
+        own = {s: max(1, -(-sum(n for _, _, n in stream) // block_tokens)) for (sh, s), stream in streams.items() if sh == shard}
+        seats = sorted((-weights.get(s, 1.0) / (2 * k + 1), s, k) for s, n in own.items() for k in range(n))
         quota = collections.Counter(s for _, s, _ in seats[: int(share * len(seats))])
-        for s, bs in own.items():
-            for b in sorted(bs, key=lambda b: (md5(seed + 1, shard, s, b), b))[: quota[s]]:
-                kept |= {(i, s, docs[i][1], shard, b) for i in blocks[shard, s, b]}
+        for s in own:
+            before = 0
+            for _, i, n in sorted((md5(seed + 1, i), i, n) for _, i, n in streams[shard, s]):
+                if quota[s] and before + n / 2 <= quota[s] * block_tokens:
+                    kept.add((i, s, n, shard, blocks[i]))
+                before += n
     return kept
 
 
@@ -116,7 +116,7 @@ def test_mixture_equals_brute_force(docs, share, block, shard):
 
 
 def test_quotas_are_sainte_lague(spark):
-    of = spark.createDataFrame([(0, s, b) for s, n in (("a", 60), ("b", 60), ("c", 60)) for b in range(n)], "shard int, source string, block long")
+    of = spark.createDataFrame([(0, s, 60) for s in "abc"], "shard int, source string, n long")
     got = {r["source"]: r["quota"] for r in mixing.quotas(of, {"a": 53.0, "b": 24.0, "c": 23.0}, 7 / 180 + 1e-9).collect()}
     assert got == {"a": 3, "b": 2, "c": 2}  # the textbook case in which highest averages by Jefferson's divisors give 4, 2, 1
 
@@ -136,8 +136,8 @@ def test_long_documents_take_their_quota_by_tokens(spark):
     rows = [(i, "w " * 1000, None, "long", 2000) for i in range(20)] + [(100 + i, "w " * 10, None, "short", 20) for i in range(2000)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = collections.Counter()
-    for r in mixing.mix_by_tokens(docs, {}, 100, share=0.5).collect():
+    for r in mixing.mix(docs, {}, 100, share=0.5).collect():
         got[r["source"]] += r["tokens"]
     assert abs(got["long"] - 10_000) <= 500 and abs(got["short"] - 10_000) <= 5
-    assert mixing.mix_by_tokens(docs, {}, 100, share=1.0).count() == len(rows)
-    assert mixing.mix_by_tokens(docs, {}, 100, share=0.0).count() == 0
+    assert mixing.mix(docs, {}, 100, share=1.0).count() == len(rows)
+    assert mixing.mix(docs, {}, 100, share=0.0).count() == 0
