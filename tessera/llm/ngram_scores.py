@@ -23,11 +23,11 @@ from tessera.llm import _hashing as H
 from tessera.llm._shared import written
 from tessera.llm.backoff_scores import ALPHA, _look_up, _words, unigrams
 
-ORDER, RECORDS, CODED, PIECE, BUCKETS_A_TASK = 3, 1 << 20, 1 << 20, 1 << 22, 8
+ORDER, RECORDS, CODED, PIECE, BUCKETS_A_TASK, RARE_BITS = 3, 1 << 20, 1 << 20, 1 << 22, 8, 1 << 27
 #: Codes of words: 0 is none.
 RARE, FIRST = 1, 2
-#: Keys of the sums of documents in the last join; words' keys are positive.
-SALTS = 1 << 20
+#: Documents whose sums travel together, binary places of these, and keys of the numbers of words.
+SHARD_DOCS, PLACES, SHARDS = 1 << 16, float(1 << 28), 1 << 20
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -118,11 +118,25 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
     hot_words = word[n > limit]
     hot_shared = spark.sparkContext.broadcast(hot_words.tobytes())
     buckets = max(1, -(-total // RECORDS))
+    shards = max(1, -(-docs.count() // SHARD_DOCS))
     piece = PIECE
+    # Of words without a code most occur once, which needs no join: a bit array has the others, and a few that it takes for such.
+    rare = counts.where((F.col("n") < least) & (F.col("n") > 1))
+    bits = min(RARE_BITS, 1 << max(10, int(np.ceil(np.log2(16 * max(1, rare.count()))))))
+    at = F.col("word").bitwiseAND(bits - 1)
+    marks = rare.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    rows_of_bits = np.zeros(bits >> 6, np.int64)
+    rows_of_bits[marks["at"].to_numpy()] = marks["bit"].to_numpy()
+    rare_shared = spark.sparkContext.broadcast(rows_of_bits.tobytes())
 
     def table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.int64), np.frombuffer(shared.value[2], np.int32)
 
+    def several(w: np.ndarray) -> np.ndarray:
+        """Which of the words without a code may occur more than once."""
+        x, at = np.frombuffer(rare_shared.value, np.int64), (w & np.uint64(bits - 1)).astype(np.int64)
+        return x[at >> 6] >> (at & 63) & 1 == 1
+
     def is_hot(v: np.ndarray) -> np.ndarray:
         hot = np.frombuffer(hot_shared.value, np.uint64)
         return _look_up(hot, np.ones(len(hot), np.int64), v) > 0
@@ -150,6 +164,9 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
                 if not len(w):
                     continue
                 ids = batch.column(0).slice(first, len(part)).to_numpy(zero_copy_only=False).astype(np.int64)
+                worded = np.flatnonzero(count)
+                lengths = np.stack([ids[worded], np.asarray(count, np.int64)[worded]])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(ids[0]) % SHARDS], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(lengths.tobytes())], pa.binary())], ["bucket", "grams"])
                 ext, row, places = _extended(w, count, order)
                 code = _look_up(keys, ranks.astype(np.int64) + FIRST, ext)
                 code[(code == 0) & (ext > 0)] = RARE
@@ -254,54 +271,99 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
         score[open_] -= np.log(others[open_] if held_out else others)
         near = open_ & (n_w > 0)
         score[near] += np.log(np.maximum(n_w[near] - own[0][near], 1))
-        far = open_ & (n_w == 0)
+        far = open_ & (n_w == 0)  # what occurs once adds log(1)
+        far[far] = several(w[far])
         asked.append((w[far], row[far], np.ones(int(far.sum()), np.int8), own[0][far]))
         doc, at = np.unique(ids, return_inverse=True)
-        at = at[row]
-        sums = doc, np.bincount(at, weights=score, minlength=len(doc)), np.bincount(at, weights=w > 0, minlength=len(doc)).astype(np.int64)
         key, r, sign, m = (np.concatenate(x) for x in zip(*asked))
-        return sums, (key.astype(np.int64), ids[r], sign, m)
+        return (doc, np.bincount(at[row], weights=score, minlength=len(doc))), (key.astype(np.int64), ids[r], sign, m)
+
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("sign", pa.int8()), ("own", pa.int32()), ("shard", pa.int32()), ("sums", pa.binary())])
 
-    names = ["key", "doc_id", "sign", "own", "score", "n"]
+    def of_documents(doc: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sums of scores, packed by shards of documents; ids rise and scores have 28 binary places."""
+        by = np.lexsort((doc, doc % shards))
+        doc, score, shard = doc[by], score[by], doc[by] % shards
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(doc)]]) if len(doc) else []
+        packer = zstandard.ZstdCompressor(level=1)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            data = _planes(np.diff(doc[lo:hi], prepend=0), 8) + _planes(np.rint(score[lo:hi] * PLACES).astype(np.int64), 8)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([shard[lo]], pa.int32()), pa.array([packer.compress(data)], pa.binary())], schema=schema)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, ranks = table()
         by_rank = np.empty(len(keys), np.uint64)
         by_rank[ranks] = keys
-        sums = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        doc, score = np.zeros(0, np.int64), np.zeros(0)
 
-        def groups() -> Iterator[list[bytes]]:
+        def groups() -> Iterator[tuple[int, list[bytes]]]:
             held, last = [], None
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if held and b != last:
-                        yield held
+                    if held and (b != last or b < 0):
+                        yield last, held
                         held = []
                     held.append(blob.as_py())
                     last = b
             if held:
-                yield held
-
-        for blobs in groups():
-            more, (key, doc, sign, m) = solved(blobs, keys, values, by_rank)
+                yield last, held
+
+        for b, blobs in groups():
+            if b < 0:
+                ids, n = np.frombuffer(zstandard.decompress(blobs[0]), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(ids), pa.nulls(len(n), pa.int8()), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
+                continue
+            (more, sums), (key, of, sign, m) = solved(blobs, keys, values, by_rank)
             for i in range(0, len(key), 1 << 18):
                 part = slice(i, i + (1 << 18))
                 k = len(key[part])
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(doc[part]), pa.array(sign[part]), pa.array(m[part].astype(np.int32)), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64))], names)
-            doc, at = np.unique(np.concatenate([sums[0], more[0]]), return_inverse=True)
-            sums = [doc, np.bincount(at, weights=np.concatenate([sums[1], more[1]])), np.bincount(at, weights=np.concatenate([sums[2], more[2]])).astype(np.int64)]
-        k = len(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - (sums[0] % SALTS)), pa.array(sums[0]), pa.array(np.zeros(k, np.int8)), pa.array(np.zeros(k, np.int32)), pa.array(sums[1]), pa.array(sums[2])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(of[part]), pa.array(sign[part]), pa.array(m[part].astype(np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            doc, at = np.unique(np.concatenate([doc, more]), return_inverse=True)
+            score = np.bincount(at, weights=np.concatenate([score, sums]), minlength=len(doc))
+            if len(doc) > 1 << 21:
+                yield from of_documents(doc, score)
+                doc, score = doc[:0], score[:0]
+        yield from of_documents(doc, score)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of documents, of rows sorted by shard."""
+        docs_, scores_, last = [], [], None
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
+            doc, at = np.unique(np.concatenate(docs_), return_inverse=True)
+            return doc, np.bincount(at, weights=np.concatenate(scores_), minlength=len(doc))
+
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if docs_ and (shard != last or sum(map(len, docs_)) > 1 << 21):
+                    doc, score = whole()
+                    docs_, scores_ = [doc], [score]
+                    if shard != last:
+                        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(score)], ["doc_id", "score"])
+                        docs_, scores_ = [], []
+                data = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint8)
+                r, n = _Planes(data), len(data) // 16
+                docs_.append(np.cumsum(r.take(n, 8).astype(np.int64)))
+                scores_.append(r.take(n, 8).astype(np.int64) / PLACES)
+                last = shard
+        if docs_:
+            doc, score = whole()
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(score)], ["doc_id", "score"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     packed = wanted.mapInArrow(records, "bucket int, grams binary")
     tasks = max(1, -(-buckets // BUCKETS_A_TASK))
-    rows = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "key long, doc_id long, sign byte, own int, score double, n long")
-    known = counts.where(F.col("n") < least).select("word", F.col("n").alias("known"))
+    rows = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "key long, doc_id long, sign byte, own int, shard int, sums binary")
+    rows = written(rows, "ngram-sums")
+    known = counts.where((F.col("n") < least) & (F.col("n") > 1)).select("word", F.col("n").alias("known"))
     if len(hot_words) and order > 2:
         far = wanted.select("text").mapInArrow(long_contexts, "word long, n long").groupBy("word").agg(F.sum("n").alias("known"))
         known = known.unionByName(far)
-    joined = rows.join(known, rows["key"] == known["word"], "left")
-    term = F.when(F.col("sign") != 0, F.col("sign") * F.log(F.greatest(F.col("known") - F.col("own"), F.lit(1)))).otherwise(F.col("score"))
-    both = joined.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(term).alias("score"))
+    asked = rows.where("key is not null").join(known, rows["key"] == known["word"], "left")
+    # A word that the bit array takes for a more frequent one isn't known and occurs once.
+    terms = asked.groupBy("doc_id").agg(F.sum(F.col("sign") * F.log(F.greatest(F.coalesce("known", F.lit(1)) - F.col("own"), F.lit(1)))).alias("score"))
+    sums = rows.where("shard is not null").select("shard", "sums").repartition("shard").sortWithinPartitions("shard").mapInArrow(added, "doc_id long, score double")
+    lengths = rows.where("key is null and shard is null").groupBy("doc_id").agg(F.sum("own").alias("n"))
+    none = F.lit(0).cast("long").alias("n")
+    both = terms.select("doc_id", "score", none).unionByName(sums.select("doc_id", "score", none)).unionByName(lengths.select("doc_id", F.lit(0.0).alias("score"), "n")).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("score").alias("score"))
     return both.select("doc_id", "n_tokens", F.round("score", 3).alias("log_score"), F.round(F.col("score") / F.col("n_tokens"), 6).alias("mean_log_score"))

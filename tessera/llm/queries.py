@@ -34,11 +34,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores.scores(documents(spark, sf_dir))
+    return ngram_scores.ngram_scores(documents(spark, sf_dir))
 
 
-def op6_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_scores.ngram_scores(documents(spark, sf_dir))
+def op6_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores.scores(documents(spark, sf_dir))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op6_lm_scoring_trigrams, op7_ngram_jaccard_join,
+        op1_arc_to_warc, op2_language_id, op3_embedding_neighbours, op4_source_mixing, op5_token_files, op6_lm_scoring, op6_lm_scoring_bigrams, op7_ngram_jaccard_join,
         op8_secret_scan, op9_sequence_packing, op10_fingerprints, pipeline,
     )
 }
@@ -105,6 +105,30 @@ SELECT archive, position, version, target_uri, ip_address, warc_type, content_ty
 FROM u""",
     "op4_source_mixing": mixing.sql(words=N_WORDS),
     "op6_lm_scoring": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, r, len(w) AS size, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS v, unnest(list_prepend(NULL, list_prepend(NULL, w[:-3]))[:len(w)]) AS u FROM d WHERE len(w) > 0),
+o1 AS (SELECT r, w, count(*) AS n FROM p GROUP BY ALL),
+o2 AS (SELECT r, v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY ALL),
+o3 AS (SELECT r, u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT w, sum(n) AS n FROM o1 GROUP BY ALL),
+c2 AS (SELECT v, w, sum(n) AS n FROM o2 GROUP BY ALL),
+c3 AS (SELECT u, v, w, sum(n) AS n FROM o3 GROUP BY ALL),
+t AS (SELECT count(*) AS n FROM p),
+x AS (
+  SELECT p.*, t.n AS total, c1.n - o1.n AS nw, c2.n - o2.n AS nvw, c3.n - o3.n AS nuvw, cv.n - ov.n AS nv, cuv.n - ouv.n AS nuv
+  FROM p CROSS JOIN t JOIN c1 ON p.w = c1.w JOIN o1 ON p.r = o1.r AND p.w = o1.w
+    LEFT JOIN c2 ON p.v = c2.v AND p.w = c2.w LEFT JOIN o2 ON p.r = o2.r AND p.v = o2.v AND p.w = o2.w
+    LEFT JOIN c3 ON p.u = c3.u AND p.v = c3.v AND p.w = c3.w LEFT JOIN o3 ON p.r = o3.r AND p.u = o3.u AND p.v = o3.v AND p.w = o3.w
+    LEFT JOIN c1 cv ON p.v = cv.w LEFT JOIN o1 ov ON p.r = ov.r AND p.v = ov.w
+    LEFT JOIN c2 cuv ON p.u = cuv.v AND p.v = cuv.w LEFT JOIN o2 ouv ON p.r = ouv.r AND p.u = ouv.v AND p.v = ouv.w),
+s AS (
+  SELECT doc_id, CASE WHEN nuvw >= 1 THEN ln(nuvw) - ln(nuv)
+    WHEN nvw >= 1 THEN ln(nvw) - ln(nv) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(greatest(nw, 1)) - ln(greatest(total - size, 1)) + ln(0.4) * (CASE WHEN u IS NULL THEN 0 ELSE 1 END + CASE WHEN v IS NULL THEN 0 ELSE 1 END) END AS s
+  FROM x)
+SELECT doc_id, count(*) AS n_tokens, round(sum(s), 3) AS log_score, round(sum(s) / count(*), 6) AS mean_log_score
+FROM s GROUP BY doc_id""",
+    "op6_lm_scoring_bigrams": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS r FROM documents WHERE doc_id IS NOT NULL),
 p AS (SELECT doc_id, unnest(w) AS w, unnest(list_prepend(NULL, w[:-2])) AS v FROM w WHERE len(w) > 0),
 c1 AS (SELECT w, count(*) AS n FROM p GROUP BY w),
