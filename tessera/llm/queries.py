@@ -46,7 +46,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(documents(spark, sf_dir), secret_scan.train(secret_scan.findings()))
+    return secret_scan.scan(documents(spark, sf_dir), secret_scan.trained())
 
 
 def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

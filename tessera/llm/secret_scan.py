@@ -23,6 +23,8 @@ from tessera.llm import _hashing as H
 
 BEFORE, AFTER = 32, 12
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
+#: Places of a long window that are convolved together.
+SLICE = 1 << 13
 RECALL, FINDINGS, SEED = 0.995, 9000, 5
 #: Findings before schemes and URLs come among them: fewer are too few to learn these as well.
 PLAIN = 3000
@@ -39,8 +41,8 @@ SIGNS = 97
 
 
 def _codes(text: str) -> np.ndarray:
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((x >= 32) & (x < 127), x - 31, 96)
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((x >= 32) & (x < 127), x - np.uint32(31), np.uint32(96)).astype(np.int16)
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int]]:
@@ -70,7 +72,7 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     """Codes of a candidate, whole, with its surroundings; 0 is beyond the text."""
     left, right = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
     x = np.concatenate([_codes(left), _codes(text[start:end]) + SIGNS, _codes(right)])
-    return np.concatenate([np.zeros(BEFORE - len(left), np.int64), x, np.zeros(AFTER - len(right), np.int64)])
+    return np.concatenate([np.zeros(BEFORE - len(left), np.int16), x, np.zeros(AFTER - len(right), np.int16)])
 
 
 # Labelled findings
@@ -187,16 +189,27 @@ class Network:
         mean = conv.sum(1) / (lens - WIDTH + 1)[:, None]
         return conv, best, np.concatenate([np.take_along_axis(conv, best[:, None, :], 1)[:, 0], mean], axis=1)
 
+    def _pooled_long(self, window: np.ndarray) -> np.ndarray:
+        """As ``_pooled`` for one window, in slices with running maxima and sums."""
+        n = len(window) - WIDTH + 1
+        best, total = np.zeros(FILTERS), np.zeros(FILTERS)
+        for lo in range(0, n, SLICE):
+            m = min(SLICE, n - lo)
+            conv = np.maximum(self.bias + sum(self.table[k][window[lo + k : lo + k + m]] for k in range(WIDTH)), 0)
+            best, total = np.maximum(best, conv.max(0)), total + conv.sum(0)
+        return np.concatenate([best, total / n])[None, :]
+
     def logits(self, windows: list[np.ndarray]) -> np.ndarray:
-        """Each window's value doesn't depend on the others; windows of like length go together."""
+        """Each window's value doesn't depend on the others; windows of like length go together, long ones alone."""
         out = np.zeros(len(windows))
         order = np.argsort([len(w) for w in windows], kind="stable")
         i = 0
         while i < len(order):
             j = i + 1
-            while j < len(order) and (j - i + 1) * len(windows[order[j]]) <= 1 << 14:
+            long = len(windows[order[i]]) > SLICE
+            while not long and j < len(order) and len(windows[order[j]]) <= SLICE and (j - i + 1) * len(windows[order[j]]) <= 1 << 14:
                 j += 1
-            pooled = self._pooled(*self._padded([windows[k] for k in order[i:j]]))[2]
+            pooled = self._pooled_long(windows[order[i]]) if long else self._pooled(*self._padded([windows[k] for k in order[i:j]]))[2]
             out[order[i:j]] = np.maximum(pooled @ self.w1 + self.b1, 0) @ self.w2 + self.b2
             i = j
         return out
@@ -272,13 +285,32 @@ def train(data: list[tuple[str, int, int, int]], recall: float = RECALL, epochs:
     return net
 
 
+_trained: dict[tuple, Network] = {}
+
+
+def trained(n: int = FINDINGS, seed: int = SEED, recall: float = RECALL) -> Network:
+    """The network fitted on ``findings(n, seed)``; fitted once in a process, since it depends on nothing else."""
+    key = n, seed, recall
+    if key not in _trained:
+        _trained[key] = train(findings(n, seed), recall)
+    return _trained[key]
+
+
 def found(text: str, net: Network) -> list[tuple[int, int, float]]:
     """(start, end, probability) of the secrets of a text."""
     at = candidates(text)
     if not at:
         return []
-    q = net.probabilities([window(text, a, b) for a, b, _ in at])
-    return [(a, b, float(p)) for (a, b, kind), p in zip(at, q) if p >= net.thresholds[kind]]
+    out, k = [], 0
+    while k < len(at):  # windows of some 64 kB at a time
+        j, size = k, 0
+        while j < len(at) and (j == k or size < 1 << 16):
+            size += at[j][1] - at[j][0] + BEFORE + AFTER
+            j += 1
+        q = net.probabilities([window(text, a, b) for a, b, _ in at[k:j]])
+        out += [(a, b, float(p)) for (a, b, kind), p in zip(at[k:j], q) if p >= net.thresholds[kind]]
+        k = j
+    return out
 
 
 def _worth_reading(texts: pa.Array) -> np.ndarray:
@@ -304,7 +336,10 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def redacted(docs: DataFrame, net: Network, mark: str = "[SECRET]") -> DataFrame:
-    """All rows with all columns; in their texts each secret gives way to ``mark``, and n_chars, if there, follows."""
+    """All rows with all columns; in their texts each secret gives way to ``mark``, and n_chars, if there, follows.
+
+    Null and empty texts, null ids, repeated rows and further columns stay as they are; very long texts are read whole; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
