@@ -1,7 +1,7 @@
 """Operator 5: token ids as flat unsigned integers with 64-bit document offsets, to be memory-mapped.
 
-Each partition is tokenised once and written as one file of ids and one of offsets under a temporary name, then put in
-place; a task that runs again writes the same bytes again. What remains is arithmetic on one row per partition: the prefix sums of their
+Each partition is tokenised once and written as one file of ids and one of offsets, whose names hold the attempt that wrote them. The rows of that
+attempt name its files, so what an attempt left behind whose rows Spark didn't keep is in no manifest, and goes. What remains is arithmetic on one row per partition: the prefix sums of their
 numbers of tokens and documents are the partitions' bases in the whole corpus.
 """
 
@@ -48,7 +48,9 @@ def dtype_for(largest: int) -> np.dtype:
     return np.dtype(next(t for t in ("u1", "<u2", "<u4", "<u8") if largest <= np.iinfo(t).max))
 
 
-def _at(folder: str) -> tuple[pfs.FileSystem, str]:
+def file_system(folder: str) -> tuple[pfs.FileSystem, str]:
+    """The file system of a folder's URI, or of a local path, and the path there."""
+    folder = "s3" + folder[3:] if folder.startswith(("s3a:", "s3n:")) else folder  # the name that pyarrow knows
     fs, path = pfs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pfs.LocalFileSystem(), folder)
     return fs, path.rstrip("/")
 
@@ -58,11 +60,11 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
 
     ``offset`` is where the document begins in the ids of its part, ``base`` where that part begins in the corpus. A document is its ids and then
     ``end``, if that is not None; a null or empty text has no ids but its end. Every row is written, repeated ones too; a null doc_id is written and stays
-    null. The order is that of the partitions. Other columns are not read. An empty table gives no files but a manifest.
+    null. The order is that of the partitions. A text of any length is one document. Other columns are not read. An empty table gives no files but a manifest.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    fs, path = _at(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     if fs.get_file_info(pfs.FileSelector(path)):
         raise ValueError(f"{folder} isn't empty")
@@ -70,8 +72,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoding(tokenizer), TaskContext.get().partitionId()
-        fs, path = _at(folder)
-        own = f"{path}/.{part}-{uuid.uuid4().hex}"
+        fs, path = file_system(folder)
+        name = f"{part:06d}-{uuid.uuid4().hex[:12]}"
+        own = f"{path}/{name}"
         row = total = 0
         with fs.open_output_stream(f"{own}.ids") as ids, fs.open_output_stream(f"{own}.offsets") as offsets:
             for batch in batches:
@@ -86,27 +89,24 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str = TO
                 start = total + np.cumsum(n) - n
                 offsets.write(start.astype("<u8").tobytes())
                 k = len(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(k, part, np.int32)), pa.array(row + np.arange(k)), pa.array(n), pa.array(start)], ["doc_id", "part", "row", "tokens", "offset"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(k, part, np.int32)), pa.array([name] * k, pa.string()), pa.array(row + np.arange(k)), pa.array(n), pa.array(start)], ["doc_id", "part", "file", "row", "tokens", "offset"])
                 row, total = row + k, total + int(n.sum())
             offsets.write(np.array([total], dtype="<u8").tobytes())
-        for what in ("offsets", "ids"):
-            name = f"{path}/{part:06d}.{what}"
-            # An earlier attempt of the same task has put the same bytes there; not all file systems rename over a file.
-            if row and fs.get_file_info(name).type == pfs.FileType.NotFound:
-                fs.move(f"{own}.{what}", name)
-            else:
+        if not row:
+            for what in ("offsets", "ids"):
                 fs.delete_file(f"{own}.{what}")
 
     # Written before it is read twice, so that no file is ever made again by another plan.
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, part int, row long, tokens long, offset long"), "token-rows")
-    parts = rows.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).orderBy("part").toArrow()  # a row per partition
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "doc_id long, part int, file string, row long, tokens long, offset long"), "token-rows")
+    parts = rows.groupBy("part", "file").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).orderBy("part").toArrow()  # a row per partition
     tokens, documents = parts["tokens"].to_numpy(), parts["documents"].to_numpy()
     bases = (np.cumsum(tokens) - tokens).astype(np.int64)
-    manifest = {"dtype": kind.str, "end": end, "parts": [{"part": p, "tokens": int(t), "documents": int(d), "base": int(b), "first_document": int(f)} for p, t, d, b, f in zip(parts["part"].to_pylist(), tokens, documents, bases, np.cumsum(documents) - documents)]}
+    manifest = {"dtype": kind.str, "end": end, "parts": [{"part": p, "file": name, "tokens": int(t), "documents": int(d), "base": int(b), "first_document": int(f)} for p, name, t, d, b, f in zip(parts["part"].to_pylist(), parts["file"].to_pylist(), tokens, documents, bases, np.cumsum(documents) - documents)]}
     with fs.open_output_stream(posixpath.join(path, "manifest.json")) as out:
         out.write(json.dumps(manifest).encode())
+    kept = {"manifest.json", *(f"{p['file']}.{what}" for p in manifest["parts"] for what in ("ids", "offsets"))}
     for left in fs.get_file_info(pfs.FileSelector(path)):
-        if posixpath.basename(left.path).startswith("."):  # of attempts that were killed
+        if posixpath.basename(left.path) not in kept:  # of other attempts
             fs.delete_file(left.path)
     base = spark.createDataFrame(pa.table({"part": parts["part"].cast(pa.int32()), "base": pa.array(bases)}))
     return folder, rows.join(base, "part").select("doc_id", "part", "row", "tokens", "offset", "base")
@@ -116,7 +116,7 @@ class Corpus:
     """A written corpus on a file system of this machine; ids of document i are ``corpus[i]``, mapped, not read."""
 
     def __init__(self, folder: str):
-        self.path = _at(folder)[1]
+        self.path = file_system(folder)[1]
         with open(f"{self.path}/manifest.json") as f:
             m = json.load(f)
         self.parts, self.dtype = m["parts"], np.dtype(m["dtype"])
@@ -129,7 +129,7 @@ class Corpus:
 
     def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self._open:
-            name = f"{self.path}/{self.parts[k]['part']:06d}"
+            name = f"{self.path}/{self.parts[k]['file']}"
             n = self.parts[k]["tokens"]
             ids = np.memmap(f"{name}.ids", self.dtype, "r") if n else np.zeros(0, self.dtype)
             self._open[k] = ids, np.memmap(f"{name}.offsets", "<u8", "r")
