@@ -17,15 +17,19 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import written
+from tessera.llm.token_files import file_system
+
 V1 = ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length")
 V2 = ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 SCHEMA = (
     "archive string, position long, version int, target_uri string, ip_address string, warc_date string, warc_type string, record_id string, content_type string, "
-    "content_length long, http_status int, block_digest string, payload_digest string, payload_length long, error string"
+    "content_length long, http_status int, block_digest string, payload_digest string, payload_length long, error string, block binary"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -97,7 +101,7 @@ def records(data: bytes | None, archive: str | None) -> Iterator[tuple]:
     for part in _inflated(bytes(data)):
         if part is None:
             state["broken"] = True
-            yield (archive, state["position"], state["version"] or None, *[None] * (len(COLUMNS) - 4), "broken gzip member")
+            yield (archive, state["position"], state["version"] or None, *[None] * (len(COLUMNS) - 5), "broken gzip member", None)
         else:
             yield from _records(part, archive, state)
 
@@ -107,7 +111,7 @@ def _records(data: bytes, archive: str | None, state: dict) -> Iterator[tuple]:
     at, version, fields, position = 0, state["version"], state["fields"], state["position"]
 
     def failed(why: str) -> tuple:
-        return (archive, position, version or None, *[None] * (len(COLUMNS) - 4), why)
+        return (archive, position, version or None, *[None] * (len(COLUMNS) - 5), why, None)
 
     if not data.strip():
         return
@@ -156,7 +160,7 @@ def _records(data: bytes, archive: str | None, state: dict) -> Iterator[tuple]:
         ip = head.get("IP-address")
         yield (
             archive, position, version, url, None if ip in (None, "", "-", "0.0.0.0") else ip, date, kind, f"<urn:uuid:{uuid.uuid5(SPACE, name)}>", content,
-            length, status, of_block, of_payload, len(payload), None if date else "bad date",
+            length, status, of_block, of_payload, len(payload), None if date else "bad date", block,
         )
         position += 1
         state.update(version=version, fields=fields, position=position)
@@ -166,24 +170,56 @@ def convert(archives: DataFrame) -> DataFrame:
     """One row of SCHEMA for each record of each (archive, content) row.
 
     Null and empty contents have no records. A broken archive gives its records up to the break and one row that names the error; a bad date alone
-    leaves warc_date null. Repeated rows and names are converted each. Gzip is recognised. An empty table gives no rows; other columns are not read.
+    leaves warc_date null. ``block`` holds the record's bytes. Very long records are read whole. Repeated rows and names are converted each. Gzip is recognised. An empty table gives no rows; other columns are not read.
     """
 
+    schema = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in SCHEMA.split(", "))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
-                rows = list(records(data.as_py(), name.as_py()))
-                schema = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[t]) for c, t in (x.split() for x in SCHEMA.split(", "))])
+                rows, size = [], 0
+                for r in records(data.as_py(), name.as_py()):
+                    rows.append(r)
+                    size += len(r[-1] or b"")
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(COLUMNS)}, schema=schema)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(COLUMNS)}, schema=schema)
 
     return archives.select(F.col("archive").cast("string"), "content").mapInArrow(run, SCHEMA)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files under a path."""
+    """The records of all ARC files under a path, as ``convert`` gives them; a file is read whole by one task, up to 2 GB. No files give no rows."""
     return convert(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"))
 
 
+def write_warc(records: DataFrame, folder: str) -> DataFrame:
+    """Writes the records (rows of SCHEMA without an error or with a bad date) as WARC files of one gzip member a record, one file for each partition, and returns (file, records, bytes) of each.
+
+    Names hold the attempt that wrote the file; the rows returned name those that count. Rows without a block are left out; no rows give no file.
+    """
+    columns = COLUMNS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(folder)
+        fs.create_dir(path, recursive=True)
+        name, n, size, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz", 0, 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] is not None:
+                    out = out or fs.open_output_stream(f"{path}/{name}", compression=None)
+                    data = gzip.compress(warc_bytes(row, row["block"]), 6, mtime=0)
+                    out.write(data)
+                    n, size = n + 1, size + len(data)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    return written(records.select(*columns).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+
+
 def warc_bytes(row, block: bytes) -> bytes:
     """The WARC record of a row of SCHEMA and its block."""
     head = ["WARC/1.0", f"WARC-Type: {row['warc_type']}", f"WARC-Record-ID: {row['record_id']}"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import arc_to_warc, backoff_scores, language_id, lattice_neighbours, mixing, ngram_jaccard, ngram_scores, packing, secret_scan, token_files, weighted_minhash
 from tessera.llm._shared import documents
@@ -13,7 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arc_to_warc.convert(arc_to_warc.archives_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    rows = arc_to_warc.convert(arc_to_warc.archives_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return rows.withColumn("block", F.decode("block", "UTF-8"))  # these pages are text
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ u AS (SELECT *, sha1(from_hex('{arc_to_warc.SPACE.hex}') || encode(target_uri ||
 SELECT archive, position, version, target_uri, ip_address, warc_type, content_type, http_status, block_digest, payload_digest,
   strftime(strptime(digits, '%Y%m%d%H%M%S'), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
   '<urn:uuid:' || substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-5' || substr(k, 14, 3) || '-' || substr('89ab', 1 + CAST(CAST('0x' || substr(k, 17, 1) AS BIGINT) & 3 AS INTEGER), 1) || substr(k, 18, 3) || '-' || substr(k, 21, 12) || '>' AS record_id,
-  CAST(strlen(block) AS BIGINT) AS content_length, CAST(strlen(coalesce(body, block)) AS BIGINT) AS payload_length, CAST(NULL AS VARCHAR) AS error
+  CAST(strlen(block) AS BIGINT) AS content_length, CAST(strlen(coalesce(body, block)) AS BIGINT) AS payload_length, CAST(NULL AS VARCHAR) AS error, block
 FROM u""",
     "op4_source_mixing": mixing.sql(words=N_WORDS),
     "op6_lm_scoring": f"""

@@ -1,3 +1,4 @@
+import collections
 import gzip
 import itertools
 import json
@@ -188,6 +189,35 @@ def test_files(spark, tmp_path):
     assert sorted(r["version"] for r in got) == [1, 2]
 
 
+def read_warc(data):
+    """(headers, block) of each record, by the declared lengths alone."""
+    out = []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.0"
+        headers = dict(x.split(": ", 1) for x in lines[1:])
+        n = int(headers["Content-Length"])
+        out.append((headers, data[:n]))
+        assert data[n : n + 4] == b"\r\n\r\n"
+        data = data[n + 4 :]
+    return out
+
+
+def test_warc_files_hold_the_records(spark, tmp_path):
+    rows = [(f"http://a/{i}", "1.1.1.1", "20010101000000", "text/html", PAGE + b"%d" % i * i) for i in range(300)]
+    (tmp_path / "many.arc").write_bytes(A.arc_bytes("many.arc", 2, rows, True))
+    (tmp_path / "one.arc").write_bytes(A.arc_bytes("one.arc", 1, rows[:1]) + b"broken line\n")
+    records = A.read_arc(spark, str(tmp_path / "*.arc"))
+    files = A.write_warc(records, f"file://{tmp_path}/out").collect()
+    got = [x for f in files for x in read_warc(gzip.decompress((tmp_path / "out" / f["file"]).read_bytes()))]
+    assert sum(f["records"] for f in files) == len(got) == 303 == len({h["WARC-Record-ID"] for h, _ in got}) + 1  # the same page from two archives has one id
+    assert all(A.digest(b) == h["WARC-Block-Digest"] for h, b in got)
+    assert sorted(b for h, b in got if h["WARC-Type"] == "response") == sorted([r[4] for r in rows] + [rows[0][4]])
+    assert all(f["bytes"] == (tmp_path / "out" / f["file"]).stat().st_size for f in files)
+    assert A.write_warc(records.limit(0), f"file://{tmp_path}/none").collect() == []
+
+
 # Token files
 
 
@@ -215,15 +245,44 @@ def test_files_are_flat_integers(spark, docs, tmp_path):
     folder, rows = K.write_tokens(docs.coalesce(1), f"file://{tmp_path}/out", end=None)
     m = json.loads((tmp_path / "out/manifest.json").read_text())
     assert m["dtype"] == "<u2" and len(m["parts"]) == 1
-    raw = np.fromfile(tmp_path / "out/000000.ids", "<u2")
-    offsets = np.fromfile(tmp_path / "out/000000.offsets", "<u8")
+    name = m["parts"][0]["file"]
+    raw = np.fromfile(tmp_path / f"out/{name}.ids", "<u2")
+    offsets = np.fromfile(tmp_path / f"out/{name}.offsets", "<u8")
     assert len(raw) == m["parts"][0]["tokens"] == offsets[-1] and (np.diff(offsets.astype(np.int64)) >= 0).all()
-    assert not list((tmp_path / "out").glob(".*"))
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == sorted(["manifest.json", f"{name}.ids", f"{name}.offsets"])
     assert rows.agg(F.sum("tokens")).first()[0] == len(raw)
     with pytest.raises(ValueError, match="empty"):
         K.write_tokens(docs, f"file://{tmp_path}/out")
 
 
+def test_attempts_whose_rows_are_not_kept_leave_nothing(spark, docs, monkeypatch):
+    """After a shuffle another attempt of a task may have its rows in another order: ids, offsets and rows must come from one attempt."""
+    kept = K.written
+
+    def twice(df, name):
+        df.collect()  # a whole run of attempts whose files are there and whose rows are lost
+        return kept(df, name)
+
+    monkeypatch.setattr(K, "written", twice)
+    folder, rows = K.write_tokens(docs.repartition(3, F.rand()))
+    corpus = K.Corpus(folder)
+    rows = {(r["part"], r["row"]): r for r in rows.collect()}
+    texts = collections.defaultdict(set)
+    for r in docs.collect():
+        texts[r["doc_id"]].add(r["text"] or "")
+    for i in range(len(corpus)):
+        k = int(np.searchsorted(corpus.first, i, "right")) - 1
+        r = rows[corpus.parts[k]["part"], i - int(corpus.first[k])]
+        assert K.encoding(K.TOKENIZER).decode(corpus[i][:-1].tolist()) in texts[r["doc_id"]] and len(corpus[i]) == r["tokens"]
+    import os
+
+    assert len([x for x in os.listdir(corpus.path) if not x.startswith(".")]) == 2 * len(corpus.parts) + 1
+
+
+def test_file_systems():
+    assert K.file_system("/tmp/x")[1] == "/tmp/x" == K.file_system("file:///tmp/x/")[1]
+
+
 def test_empty_corpus_and_other_columns(docs, clashing, empty):
     folder, rows = K.write_tokens(empty)
     assert rows.collect() == [] and len(K.Corpus(folder)) == 0
