@@ -60,13 +60,13 @@ def pieces(texts: pa.Array, most: int = 1 << 22):
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-case words of all texts in order, and the number of words of each text."""
-    parts = [_words(part) for _, part in pieces(texts, 1 << 21)]
+    parts = [_words(part) for _, part in pieces(texts, 1 << 20)]
     if not parts:
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
     return (parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts)))
 
 
-def _words(texts: pa.Array, slice_: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, slice_: int = (1 << 18) - 1) -> tuple[np.ndarray, np.ndarray]:
     """As ``words``; bytes are taken in slices, and the value of a word that goes on in the next slice is carried into it."""
     raw, at = flat(pc.utf8_lower(texts))
     if not len(raw):

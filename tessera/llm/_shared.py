@@ -30,22 +30,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: While tables are written: shuffle files go when the write is done, and batches for Python stay small, since texts may be long.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextmanager
-def _shuffles_go(spark: SparkSession) -> Iterator[None]:
-    """What runs here leaves no shuffle files behind."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors, and its shuffle files go at once."""
     path = new_folder(df.sparkSession, name)
-    with _shuffles_go(df.sparkSession):
+    with _settings(df.sparkSession, WHILE_WRITING):
         df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._written_to = path

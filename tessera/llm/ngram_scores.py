@@ -5,7 +5,7 @@ h loses its first word and log(alpha) is added, again and again; without context
 which is the default, c and N leave out what the scored row itself holds: a sequence that no other row has is unseen, however rare or frequent in its own row.
 
 Occurrences are partitioned by the last context word v, so that c(h) and c(h, w) of all contexts that end in v meet there in one exchange.
-A word with more than RECORDS occurrences is partitioned by (v, w) instead; of its contexts, c(v) goes to all workers and the longer ones are counted and joined.
+A word with more than RECORDS occurrences is partitioned by (v, w) instead; of its contexts, c(v) and the most frequent longer ones go to all workers, and other longer ones are counted and joined.
 The 2**20 most frequent words have codes by rank, which pack well, and their counts go to all workers; other words' counts are joined where needed.
 """
 
@@ -91,6 +91,18 @@ def _contexts(before: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count that no more than CODED keys (word, n) reach, and these keys in order with their counts."""
+    sizes = counts.groupBy("n").count().toArrow()
+    by_n = np.argsort(-sizes["n"].to_numpy())
+    enough = np.cumsum(sizes["count"].to_numpy()[by_n]) <= CODED
+    least = int(sizes["n"].to_numpy()[by_n][enough][-1]) if enough.any() else (1 << 62)
+    most = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    word, n = most["word"].to_numpy().astype(np.uint64), most["n"].to_numpy().astype(np.int64)
+    by = np.argsort(word)
+    return least, word[by], n[by]
+
+
 def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, held_out: bool = True) -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) as ``backoff_scores.scores`` gives them, which this is at order 2 and ``held_out`` False.
 
@@ -102,15 +114,7 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
     spark = docs.sparkSession
     counts = written(unigrams(docs), "unigrams")
     total = int(counts.agg(F.sum("n")).first()[0] or 0)
-    # The least count such that no more than CODED words have it or more.
-    sizes = counts.groupBy("n").count().toArrow()
-    by_n = np.argsort(-sizes["n"].to_numpy())
-    enough = np.cumsum(sizes["count"].to_numpy()[by_n]) <= CODED
-    least = int(sizes["n"].to_numpy()[by_n][enough][-1]) if enough.any() else total + 1
-    coded = counts.where(F.col("n") >= least).toArrow()
-    word, n = coded["word"].to_numpy().astype(np.uint64), coded["n"].to_numpy().astype(np.int64)
-    by = np.argsort(word)
-    word, n = word[by], n[by]
+    least, word, n = _frequent(counts)
     rank = np.empty(len(word), np.int64)
     rank[np.argsort(-n, kind="stable")] = np.arange(len(word))
     shared = spark.sparkContext.broadcast((word.tobytes(), n.tobytes(), rank.astype(np.int32).tobytes()))
@@ -156,6 +160,12 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
                         key, m = np.unique(_pair_key(h[hot & (before[k] > 0)]), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(m.astype(np.int64))], ["word", "n"])
 
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    contexts = written(wanted.select("text").mapInArrow(long_contexts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "ngram-contexts") if len(hot_words) and order > 2 else None
+    # The most frequent of these contexts go to all workers; the others' counts are joined.
+    frequent = _frequent(contexts.where("n > 1"))[1:] if contexts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    context_shared = spark.sparkContext.broadcast((frequent[0].tobytes(), frequent[1].tobytes()))
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, ranks = table()
         for batch in batches:
@@ -242,6 +252,7 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
         rows = row.astype(np.uint64)
         known_v = _look_up(keys, values, before[0])
         hot = known_v > limit
+        frequent_contexts = np.frombuffer(context_shared.value[0], np.uint64), np.frombuffer(context_shared.value[1], np.int64)
         open_, score, steps, asked = w > 0, np.zeros(len(w)), np.zeros(len(w), np.int64), []
         hs = _contexts(before)
         for k in range(order - 1, 0, -1):
@@ -258,8 +269,12 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
                 ch = np.where(hot, known_v - own[1], ch)
                 done = hit
             else:
-                done = hit & ~hot
-                far = hit & hot
+                at = np.flatnonzero(hit & hot)
+                known = _look_up(*frequent_contexts, _pair_key(h[at]))
+                ch[at] = known - own[k][at]
+                far = np.zeros(len(hit), bool)
+                far[at[known == 0]] = True
+                done = hit & ~far
                 asked.append((_pair_key(h[far]), row[far], np.full(int(far.sum()), -1, np.int8), own[k][far]))
             score[done] -= np.log(ch[done])
             steps[valid & ~hit] += 1
@@ -350,15 +365,13 @@ def ngram_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_
             doc, score = whole()
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(score)], ["doc_id", "score"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     packed = wanted.mapInArrow(records, "bucket int, grams binary")
     tasks = max(1, -(-buckets // BUCKETS_A_TASK))
     rows = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, "key long, doc_id long, sign byte, own int, shard int, sums binary")
     rows = written(rows, "ngram-sums")
     known = counts.where((F.col("n") < least) & (F.col("n") > 1)).select("word", F.col("n").alias("known"))
-    if len(hot_words) and order > 2:
-        far = wanted.select("text").mapInArrow(long_contexts, "word long, n long").groupBy("word").agg(F.sum("n").alias("known"))
-        known = known.unionByName(far)
+    if contexts:
+        known = known.unionByName(contexts.select("word", F.col("n").alias("known")))
     asked = rows.where("key is not null").join(known, rows["key"] == known["word"], "left")
     # A word that the bit array takes for a more frequent one isn't known and occurs once.
     terms = asked.groupBy("doc_id").agg(F.sum(F.col("sign") * F.log(F.greatest(F.coalesce("known", F.lit(1)) - F.col("own"), F.lit(1)))).alias("score"))
