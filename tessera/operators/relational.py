@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tessera.session import shared_dir
 
 
 def any_contains(column: str, needles: Sequence[str]) -> Column:
@@ -146,16 +151,25 @@ def stripped(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip() for c in df.columns))
 
 
-def closure(edges: DataFrame, start: DataFrame, limit: int = 64) -> DataFrame:
-    """(origin, node, depth): what each start node reaches, at its least depth; cycles end where they began. ``edges`` is (src, dst). A path of more than ``limit`` steps is an error."""
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, node, depth): what each start node reaches, at its least depth, over paths of any length. ``edges`` is (src, dst).
+
+    Step by step: each writes the pairs that no earlier step has to the shared folder, so paths are never listed, cycles end by themselves and no step depends on
+    the executors of another. The steps run when this is called. Edges with a null end lead nowhere, a null start reaches itself, repeated rows count once, no start gives no rows.
+    """
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    start.select(F.col(start.columns[0]).alias("node")).distinct().createOrReplaceTempView("__start")
-    found = spark.sql(f"""
-        WITH RECURSIVE reach(origin, node, depth, path) MAX RECURSION LEVEL {limit + 1} AS (
-          SELECT node, node, 0, array(node) FROM __start
-          UNION ALL
-          SELECT origin, dst, depth + 1, array_append(path, dst) FROM reach JOIN __edges ON node = src
-          WHERE NOT array_contains(path, dst))
-        SELECT origin, node, depth FROM reach""")
-    return found.groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+    folder = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
+    first, links = start.select(F.col(start.columns[0]).alias("node")), edges.select("src", "dst").dropna().distinct()
+    kind = first.union(links.select("dst")).schema["node"].dataType
+    links.select(F.col("src").cast(kind).alias("node"), F.col("dst").cast(kind).alias("dst")).write.parquet(f"{folder}/edges")
+    links = spark.read.parquet(f"{folder}/edges")
+    schema = StructType([StructField("origin", kind), StructField("node", kind), StructField("depth", IntegerType())])
+    step = first.distinct().select(F.col("node").cast(kind).alias("origin"), F.col("node").cast(kind).alias("node"))
+    for depth in count():
+        step.write.parquet(f"{folder}/reached/depth={depth}")
+        found = spark.read.schema(schema).parquet(f"{folder}/reached")
+        last = found.where(F.col("depth") == depth)
+        if last.isEmpty():
+            return found
+        nearby = last.join(links, "node").select("origin", F.col("dst").alias("node")).distinct().alias("new")
+        step = nearby.join(found.alias("old"), F.expr("new.origin <=> old.origin AND new.node = old.node"), "left_anti")

@@ -87,9 +87,9 @@ def flt1_conjunction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where("o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND o_totalprice > 1000").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_type, '(STEEL|BRASS)$') AND contains(p_name, '1')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_type, '(ARD|OMO)$') AND contains(p_name, 'g')")
 def flt2_contains(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(F.col("p_type").rlike("(STEEL|BRASS)$") & F.col("p_name").contains("1")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.col("p_type").rlike("(ARD|OMO)$") & F.col("p_name").contains("g")).select("p_partkey", "p_name")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE upper(c_mktsegment) IN ('BUILDING', 'MACHINERY')")
@@ -97,9 +97,9 @@ def flt3_upper_in(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where(F.upper("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, '11') OR contains(p_name, '37') OR contains(p_name, '5')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'gear') OR contains(p_name, 'ring') OR contains(p_name, '5')")
 def flt4_or_fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(R.any_contains("p_name", ["11", "37", "5"])).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(R.any_contains("p_name", ["gear", "ring", "5"])).select("p_partkey", "p_name")
 
 
 @query("""
@@ -400,8 +400,10 @@ def o10_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CAST((SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts - INTERVAL 60 SECOND AND b.ts <= a.ts) AS BIGINT) AS recent FROM events a""")
+SELECT a.event_id, count(*) AS recent, CAST(sum(CAST(b.value AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts >= a.ts - INTERVAL 60 SECOND AND b.ts <= a.ts GROUP BY a.event_id""")
 def st1_sliding_60s(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    by = Window.partitionBy("user_id").orderBy(at).rangeBetween(-59_999_999, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(by).alias("recent"))
+    by = Window.partitionBy("user_id").orderBy(at).rangeBetween(-60_000_000, 0)
+    total = F.sum(F.col("value").cast("decimal(18,2)")).over(by).cast("double")
+    return table(spark, d, "events").select("event_id", F.count("*").over(by).alias("recent"), total.alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +19,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in path:
         env["PYTHONPATH"] = ":".join([ROOT, *path])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,11 @@ class Limiter:
 
 
 def minute_counts(events: DataFrame, key: str = "user_id", at: str = "ts", amount: str = "value", late: str = "10 minutes") -> DataFrame:
-    """(key, ts, recent, total) for each event of a stream: how many events of its key, and how much, came in the minute up to it.
+    """(key, ts, recent, total) for each event of a stream: how many events of its key, and how much, came in the minute up to it, its very start included.
 
     State is the last minute of each key. Events of one key are taken in the order of their times within a micro-batch; one that comes
     in a later one still counts those before it, unless it is more than ``late`` behind. Keys are forgotten once the watermark is past their last minute.
+    A null amount adds nothing.
     """
     schema = events.select(key).schema[0].dataType.simpleString()
 
@@ -65,19 +67,22 @@ def minute_counts(events: DataFrame, key: str = "user_id", at: str = "ts", amoun
         if state.hasTimedOut:
             state.remove()
             return
-        times, amounts = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for t, n in zip(rows["at"].tolist(), rows["amount"].tolist()):
-            times.append(t)
-            amounts.append(n)
-            inside = [i for i, u in enumerate(times) if t - WINDOW_MS * 1000 < u <= t]
-            out.append((k[0], t, len(inside), float(sum(amounts[i] for i in inside))))
-        last = max(times)
-        kept = [i for i, u in enumerate(times) if u > last - WINDOW_MS * 1000]
-        state.update(([times[i] for i in kept], [amounts[i] for i in kept]))
+        old_at, old = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        new_at, new = rows["at"].to_numpy(np.int64), rows["amount"].fillna(0.0).to_numpy()
+        first, width = np.arange(1, len(rows) + 1), WINDOW_MS * 1000
+        # What is inside the minute of each event: of the state by its time, of this batch what comes no later in order.
+        a, b = np.searchsorted(old_at, new_at - width), np.searchsorted(old_at, new_at, side="right")
+        c = np.searchsorted(new_at, new_at - width)
+        old_sum, new_sum = (np.concatenate([[0.0], np.cumsum(x)]) for x in (old, new))
+        out = pd.DataFrame({key: k[0], "at": new_at, "recent": b - a + first - c, "total": old_sum[b] - old_sum[a] + new_sum[first] - new_sum[c]})
+        times, amounts = np.concatenate([old_at, new_at]), np.concatenate([old, new])
+        last = int(times.max())
+        order = np.argsort(times, kind="stable")
+        order = order[times[order] >= last - width]
+        state.update((times[order].tolist(), amounts[order].tolist()))
         state.setTimeoutTimestamp(max(last // 1000 + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "at", "recent", "total"])
+        yield out
 
     rows = events.select(key, F.col(at).cast("timestamp").alias("ts"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(amount).cast("double").alias("amount")).withWatermark("ts", late)
     made = rows.groupBy(key).applyInPandasWithState(update, f"{key} {schema}, at long, recent long, total double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.EventTimeTimeout)

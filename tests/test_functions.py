@@ -133,9 +133,13 @@ def test_relational_corners(spark):
     assert [r[0] for r in spark.createDataFrame([(0.5,), (-3.0,), (9.0,)], "d double").select(R.verdict(F.col("d"))).collect()] == ["PASS", "MARGINAL", "FAIL"]
 
 
-def test_closure_of_a_long_chain_is_whole_or_an_error(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
-    start = spark.createDataFrame([(0,)], "x int")
-    assert R.closure(chain, start, limit=13).count() == 13
-    with pytest.raises(Exception, match="(?i)recursion"):
-        R.closure(chain, start, limit=8).collect()
+def test_closure_of_a_long_chain_a_clique_and_nulls(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
+    start = spark.createDataFrame([(0,), (0,)], "x int")
+    assert sorted(map(tuple, R.closure(chain, start).collect())) == [(0, i, i) for i in range(71)]
+    clique = spark.createDataFrame([(i, j) for i in range(30) for j in range(30)], "src int, dst long")
+    assert sorted(map(tuple, R.closure(clique, start).collect())) == [(0, i, min(i, 1)) for i in range(30)]
+    nulls = spark.createDataFrame([(None, 1), (1, None), (1, 2), (1, 2)], "src int, dst int")
+    found = R.closure(nulls, spark.createDataFrame([(None,), (1,)], "x int")).collect()
+    assert set(map(tuple, found)) == {(None, None, 0), (1, 1, 0), (1, 2, 1)} and len(found) == 3
+    assert R.closure(nulls, start.limit(0)).collect() == []
