@@ -66,12 +66,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     """(shard, bin, doc_id, piece, start, length, at): where each piece of each document lies in its sequence.
 
     ``start`` is the piece's first token in the document, ``at`` its place in the bin. Tokens are words. A null or wordless
-    text has no pieces. A null doc_id is packed like any other, and repeated rows are packed each; among rows of one hash the order is by
+    text has no pieces. A null doc_id is packed like any other, its shard being by its text, and repeated rows are packed each; among rows of one hash the order is by
     id and length. Other columns are not read. An empty table gives no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     shards = shards_for(docs.count(), shard_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("tokens")).where("tokens > 0")
-    rows = rows.select("doc_id", "tokens", seeded(seed, "doc_id").alias("order"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).alias("spread")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count("text").alias("tokens"), spread).where("tokens > 0")
+    by = F.coalesce("spread", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = rows.select("doc_id", "tokens", seeded(seed, "doc_id").alias("order"), F.pmod(by, F.lit(shards)).cast("int").alias("shard"))
     return rows.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf.astype({"doc_id": "Int64"}), capacity), SCHEMA)
