@@ -76,6 +76,18 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """The rows with their places in a total order, from 1. They are sorted by ranges and written to the shared folder; a place is that in its range and the sizes of the ranges before."""
+    part = F.spark_partition_id()
+    folder = f"{shared_dir(df.sparkSession)}/placed-{uuid.uuid4().hex}"
+    ranges = df.orderBy(*order).select("*", part.alias("__range"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("__row"))
+    ranges.write.parquet(folder)
+    rows = df.sparkSession.read.schema(ranges.schema).parquet(folder)
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
+
+
 def guarded_range(value: Column, guard: Column, least: float, most: float) -> tuple[Column, Column]:
     """Minimum and maximum of the guarded values, sentinels where there is none."""
     kept = F.when(guard, value)

@@ -305,14 +305,8 @@ def w3_first_row(spark: SparkSession, d: str) -> DataFrame:
 FEW = "WHERE event_type IN ('error', 'signup')"
 
 
-@query(f"WITH m AS ({MEANS % FEW}), {RANKED} SELECT user_id, event_type AS winner, round(score, 6) AS score, round(coalesce(score - second, 0.0), 6) AS margin FROM r WHERE k = 1")
-def w4_leader_margin(spark: SparkSession, d: str) -> DataFrame:
-    means = table(spark, d, "events").where("event_type IN ('error', 'signup')").groupBy("user_id", "event_type").agg((money("value") / F.count("*")).alias("score"))
-    return R.winner_and_margin(means, "user_id", "event_type", "score", single=0.0).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
-
-
 @query(f"WITH m AS ({MEANS % ''}), {RANKED} SELECT user_id, event_type AS winner, round(score, 6) AS score, round(coalesce(score - second, 0.0), 6) AS margin FROM r WHERE k = 1")
-def w4_leader_margin_all(spark: SparkSession, d: str) -> DataFrame:
+def w4_leader_margin(spark: SparkSession, d: str) -> DataFrame:
     means = table(spark, d, "events").groupBy("user_id", "event_type").agg((money("value") / F.count("*")).alias("score"))
     return R.winner_and_margin(means, "user_id", "event_type", "score", single=0.0).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
 
@@ -331,16 +325,10 @@ def w6_min_over(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.min("value").over(Window.partitionBy("event_type")).alias("least"))
 
 
-@query("SELECT row_number() OVER (ORDER BY x NULLS FIRST, c_custkey) AS place, c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 7) AS x FROM customer) ORDER BY place LIMIT 100")
-def o1_nulls_first(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(7)).alias("x")).orderBy(F.asc_nulls_first("x"), "c_custkey").limit(100)
-    return rows.select(F.row_number().over(Window.orderBy(F.asc_nulls_first("x"), "c_custkey")).alias("place"), "c_custkey")
-
-
 @query("SELECT row_number() OVER (ORDER BY x NULLS FIRST, c_custkey) AS place, c_custkey FROM (SELECT c_custkey, nullif(c_nationkey, 7) AS x FROM customer)")
-def o1_nulls_first_all(spark: SparkSession, d: str) -> DataFrame:
+def o1_nulls_first(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_nationkey"), F.lit(7)).alias("x"))
-    return rows.select(F.row_number().over(Window.orderBy(F.asc_nulls_first("x"), "c_custkey")).alias("place"), "c_custkey")
+    return R.placed(rows, [F.asc_nulls_first("x"), F.col("c_custkey")], "place").select("place", "c_custkey").orderBy("place")
 
 
 @query("SELECT c_mktsegment, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 0 END AS place, count(*) AS n FROM customer GROUP BY 1, 2")
@@ -348,14 +336,8 @@ def o2_custom_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy("c_mktsegment", R.in_list_order("c_mktsegment", ["MACHINERY", "BUILDING"]).alias("place")).agg(F.count("*").alias("n")).orderBy("place", "c_mktsegment")
 
 
-@query("SELECT s_suppkey, coalesce(x, '') AS x FROM (SELECT s_suppkey, nullif(s_name, 'Supplier#000000003') AS x FROM supplier) ORDER BY 2, 1 LIMIT 20")
-def o3_sort_default(spark: SparkSession, d: str) -> DataFrame:
-    x = F.coalesce(F.nullif(F.col("s_name"), F.lit("Supplier#000000003")), F.lit(""))
-    return table(spark, d, "supplier").select("s_suppkey", x.alias("x")).orderBy("x", "s_suppkey").limit(20)
-
-
 @query("SELECT s_suppkey, coalesce(x, '') AS x FROM (SELECT s_suppkey, nullif(s_name, 'Supplier#000000003') AS x FROM supplier) ORDER BY 2, 1")
-def o3_sort_default_all(spark: SparkSession, d: str) -> DataFrame:
+def o3_sort_default(spark: SparkSession, d: str) -> DataFrame:
     x = F.coalesce(F.nullif(F.col("s_name"), F.lit("Supplier#000000003")), F.lit(""))
     return table(spark, d, "supplier").select("s_suppkey", x.alias("x")).orderBy("x", "s_suppkey")
 

@@ -143,3 +143,14 @@ def test_closure_of_a_long_chain_a_clique_and_nulls(spark):
     found = R.closure(nulls, spark.createDataFrame([(None,), (1,)], "x int")).collect()
     assert set(map(tuple, found)) == {(None, None, 0), (1, 1, 0), (1, 2, 1)} and len(found) == 3
     assert R.closure(nulls, start.limit(0)).collect() == []
+
+
+def test_places_over_several_ranges(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        rows = R.placed(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")), [F.col("k")], "place").collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted((r["k"], r["place"]) for r in rows) == [(i, i + 1) for i in range(1000)]
+    assert R.placed(spark.range(0), [F.col("id")], "place").collect() == []

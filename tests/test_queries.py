@@ -61,11 +61,11 @@ def test_first_per_key_prunes_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
-@pytest.mark.parametrize(("name", "of"), [("o1_nulls_first_all", "customer"), ("o3_sort_default_all", "supplier")])
+@pytest.mark.parametrize(("name", "of"), [("o1_nulls_first", "customer"), ("o3_sort_default", "supplier")])
 def test_whole_sorts_keep_all_rows(spark, sf_dir, name, of):
     rows = entry.queries()[name](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/{of}.parquet").count()
-    if name == "o1_nulls_first_all":
+    if name == "o1_nulls_first":
         assert [r["place"] for r in rows] == list(range(1, len(rows) + 1))
     else:
         assert [(r["x"], r["s_suppkey"]) for r in rows] == sorted((r["x"], r["s_suppkey"]) for r in rows)
@@ -73,4 +73,4 @@ def test_whole_sorts_keep_all_rows(spark, sf_dir, name, of):
 
 def test_leader_margin_reads_all_event_types(spark, sf_dir):
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
-    assert entry.queries()["w4_leader_margin_all"](spark, sf_dir).count() == users
+    assert entry.queries()["w4_leader_margin"](spark, sf_dir).count() == users
