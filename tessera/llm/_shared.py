@@ -46,10 +46,10 @@ def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors, and its shuffle files go at once."""
+def written(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: the lineage ends there and outlives executors, and its shuffle files go at once. ``settings`` hold while it is written."""
     path = new_folder(df.sparkSession, name)
-    with _settings(df.sparkSession, WHILE_WRITING):
+    with _settings(df.sparkSession, WHILE_WRITING | (settings or {})):
         df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._written_to = path

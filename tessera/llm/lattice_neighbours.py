@@ -6,7 +6,8 @@ the neighbouring cells nearest to it. What meets in a cell is verified there by
 
 Equal vectors are one node. Blocks and scale are those of the least estimated work for the number of nodes; the number of tables follows from the rate at
 which simulated pairs of exactly the threshold's cosine meet, so that all but a fiftieth of such pairs are found, and more of closer ones. Pairs are
-counted where they are found and never leave a task: of each cell come its nodes' numbers of links and one edge for each node.
+counted where they are found and never leave a task: of the cells of a bucket come their nodes' numbers of links and one edge for each node. Entries travel
+packed, many to a row, so that the work for each is that of numpy.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from tessera.llm.components import components
 THRESHOLD, PROBES, RECALL, SEED = 0.95, 1, 0.98, 3
 #: So many vectors of one cell at most are held by one task; larger cells are divided among tasks.
 HELD = 1 << 16
+#: Vectors whose cells are found together, those whose entries are packed together, and entries in one packed row; cosines in one product of matrices, and pairs that are looked at together.
+CHUNK, GATHER, PACKED, TILE, PAIRS = 2048, 1 << 14, 1 << 10, 1 << 19, 1 << 19
 #: Logarithms of the scale and of the number of cells that random unit vectors take up in one block, as measured.
 _SCALES, _LOG_CELLS = np.log([1.0, 1.4, 2.0, 2.8, 4.0]), np.array([9.83, 7.61, 5.29, 3.56, 2.20])
 #: Seconds of an entry and of one multiplication in a comparison, for the estimate.
-_ENTRY_S, _FLOP_S = 2e-5, 1e-10
-HELD_ROLE, OWN_ROLE, PROBE_ROLE = 0, 1, 2
+_ENTRY_S, _FLOP_S = 2e-5, 2e-11
 
 
 def _roots() -> np.ndarray:
@@ -43,45 +45,111 @@ def _roots() -> np.ndarray:
 ROOTS = _roots()
 
 
-def _d8(y: np.ndarray) -> np.ndarray:
-    """The nearest integer vector of even sum: round, and where the sum is odd, round the worst coordinate the other way."""
+def _worst(e: np.ndarray, least: bool = False) -> np.ndarray:
+    """Where the largest (or least) of each column's values is first."""
+    best, at = e[0].copy(), np.zeros(e.shape[1:], np.int64)
+    for k in range(1, len(e)):
+        here = e[k] < best if least else e[k] > best
+        best[here], at[here] = e[k][here], k
+    return at
+
+
+def _shift(x: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
+    """Adds ``by`` to the values at the rows ``at`` of each column."""
+    where = at * at.size + np.arange(at.size).reshape(at.shape)
+    x.reshape(-1)[where] += by
+
+
+def _d8(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest integer vectors of even sum (first axis), and the squared distances: round, and where the sum is odd, round the worst coordinate the other way."""
     r = np.rint(y)
     e = y - r
-    worst = np.abs(e).argmax(-1)[..., None]
-    other = np.take_along_axis(r, worst, -1) + np.where(np.take_along_axis(e, worst, -1) >= 0, 1.0, -1.0)
-    flipped = r.copy()
-    np.put_along_axis(flipped, worst, other, -1)
-    return np.where((r.sum(-1) % 2 != 0)[..., None], flipped, r)
+    size = np.abs(e)
+    worst = _worst(size)
+    odd = np.bitwise_and(r.sum(0).astype(np.int64), 1)
+    e_worst = np.take_along_axis(e, worst[None], 0)[0]
+    _shift(r, worst, np.where(e_worst >= 0, 1.0, -1.0) * odd)
+    return r, (e * e).sum(0) + odd * (1 - 2 * np.abs(e_worst))
+
+
+def _decoded(y: np.ndarray) -> np.ndarray:
+    (a, da), (b, db) = _d8(y), _d8(y - 0.5)
+    return np.where(da <= db, a, b + 0.5)
 
 
 def decode(y: np.ndarray) -> np.ndarray:
-    """The nearest point of E8, which is D8 and D8 shifted by a half in each coordinate."""
-    a, b = _d8(y), _d8(y - 0.5) + 0.5
-    return np.where((((y - a) ** 2).sum(-1) <= ((y - b) ** 2).sum(-1))[..., None], a, b)
+    """The nearest point of E8 (last axis), which is D8 and D8 shifted by a half in each coordinate."""
+    return np.moveaxis(_decoded(np.ascontiguousarray(np.moveaxis(y, -1, 0))), 0, -1)
+
+
+_FACTORS = [np.uint64(int(k) | 1) for k in np.random.default_rng(8).integers(0, 2**63, 8)]
 
 
 def _hash(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lattice point (last axis)."""
-    twice = np.rint(points * 2).astype(np.int64).view(np.uint64)
-    return H.join_hashes([twice[..., k] for k in range(8)])
+    """A 64-bit hash of each lattice point (first axis)."""
+    twice = (points * 2).astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = twice[0] * _FACTORS[0]
+        for k in range(1, 8):
+            h += twice[k] * _FACTORS[k]
+    return H.mix(h)
+
+
+def _nearest_root(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The root that points most nearly the way of e (first axis), and how far e reaches that way: the signs of the two largest coordinates, or halves, of which an even number is negative."""
+    size, sign = np.abs(e), np.where(e >= 0, 1.0, -1.0)
+    first = _worst(size)
+    rest = size.copy()
+    _shift(rest, first, np.full(first.shape, -np.inf))
+    second = _worst(rest)
+    least = _worst(size, least=True)
+    odd = np.bitwise_and((e < 0).sum(0), 1)
+    reach = np.take_along_axis(size, first[None], 0)[0] + np.take_along_axis(size, second[None], 0)[0]
+    halves = size.sum(0) / 2 - odd * np.take_along_axis(size, least[None], 0)[0]
+    half = sign / 2
+    _shift(half, least, -odd * np.take_along_axis(sign, least[None], 0)[0])
+    two = np.zeros_like(e)
+    for at in (first, second):
+        _shift(two, at, np.take_along_axis(sign, at[None], 0)[0])
+    return np.where(reach >= halves, two, half), np.maximum(reach, halves)
+
+
+_projections: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _projection(dim: int, table: int, blocks: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    key = dim, table, blocks, scale, seed
+    if key not in _projections:
+        rng = np.random.default_rng([seed, table, blocks, dim])
+        turn = np.ascontiguousarray((rng.standard_normal((dim, 8 * blocks)) / scale).T)
+        _projections[key] = turn, rng.random(8 * blocks)[:, None]
+    return _projections[key]
 
 
 def cells(x: np.ndarray, table: int, blocks: int, scale: float, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """Hashes of the own cell (first) and of the ``probes`` cells nearest beside it in any block, a row for each unit vector."""
-    rng = np.random.default_rng([seed, table, blocks, x.shape[1]])
-    y = (x @ (rng.standard_normal((x.shape[1], 8 * blocks)) / scale) + rng.random(8 * blocks)).reshape(len(x), blocks, 8)
-    own = decode(y)
+    if len(x) > CHUNK:
+        return np.concatenate([cells(x[k : k + CHUNK], table, blocks, scale, probes, seed) for k in range(0, len(x), CHUNK)])
+    turn, shift = _projection(x.shape[1], table, blocks, scale, seed)
+    y = np.ascontiguousarray((turn @ x.T + shift).reshape(blocks, 8, len(x)).transpose(1, 0, 2))  # coordinate, block, vector
+    own = _decoded(y)
     h = _hash(own)
-    salt = np.uint64(table * 1000003 + x.shape[1])
-    out = [H.join_hashes([h[:, b] for b in range(blocks)] + [np.full(len(x), salt)])]
-    closeness = ((y - own) @ ROOTS.T).reshape(len(x), -1)
-    rows = np.arange(len(x))
-    for _ in range(probes):
-        best = closeness.argmax(1)
-        closeness[rows, best] = -np.inf
-        b, r = best // 240, best % 240
-        there = _hash(own[rows, b] + ROOTS[r])
-        out.append(H.join_hashes([np.where(b == c, there, h[:, c]) for c in range(blocks)] + [np.full(len(x), salt)]))
+    salt = np.full(len(x), np.uint64(table * 1000003 + x.shape[1]))
+    out = [H.join_hashes([*h, salt])]
+    if probes == 1:
+        root, reach = _nearest_root(y - own)
+        best = _worst(reach)[None, None]
+        there = _hash(np.take_along_axis(own, best, 1)[:, 0] + np.take_along_axis(root, best, 1)[:, 0])
+        out.append(H.join_hashes([*(np.where(best[0, 0] == c, there, h[c]) for c in range(blocks)), salt]))
+    elif probes:
+        closeness = np.einsum("cbn,rc->nbr", y - own, ROOTS).reshape(len(x), -1)
+        rows = np.arange(len(x))
+        for _ in range(probes):
+            best = closeness.argmax(1)
+            closeness[rows, best] = -np.inf
+            b, r = best // 240, best % 240
+            there = _hash(own[:, b, rows] + ROOTS[r].T)
+            out.append(H.join_hashes([*(np.where(b == c, there, h[c]) for c in range(blocks)), salt]))
     return np.stack(out, axis=1)
 
 
@@ -172,126 +240,235 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([bad.column(0), pa.nulls(bad.num_rows, pa.int64()), pa.nulls(bad.num_rows, pa.binary())], names)
 
 
-class _Forest:
-    """Which of a cell's held nodes and of those that ask are connected; the roots are held ones."""
+def _record(dim: int) -> np.dtype:
+    """An entry of a node in a cell, or in one block of a large one, as it is packed with others: their hash, the node, whether it only probes the cell, and its vector."""
+    return np.dtype([("code", "<u8"), ("key", "<i8"), ("rep", "<i8"), ("n", "<i8"), ("probes", "<i8"), ("x", "<f4", (dim,))])
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
 
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        r = self.up[at]
-        while True:
-            above = self.up[r]
-            if (above == r).all():
-                self.up[at] = r
-                return r
-            r = above
-
-    def join(self, at: np.ndarray) -> None:
-        r = np.unique(self.roots(at))
-        self.up[r] = r[0]
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, rep, n, unit vectors) of about GATHER nodes of one dimension at a time."""
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in range(3)]
+        for at, x in _matrices(batch.column(3)):
+            mine = held.setdefault(x.shape[1], [])
+            mine.append((*(c[at] for c in columns), x))
+            if sum(len(m[0]) for m in mine) >= GATHER:
+                yield tuple(np.concatenate(c) for c in zip(*held.pop(x.shape[1])))
+    for mine in held.values():
+        yield tuple(np.concatenate(c) for c in zip(*mine))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], plans: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of the nodes' own cells in all tables; a cell may come several times."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        cell, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        return cell, np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        cell, n = summed()
+        found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    for _, _, _, x in _gathered(batches):
+        blocks, scale, tables, _, seed = plans[x.shape[1]]
+        x = x.astype(np.float64)
+        found.extend(np.unique(cells(x, k, blocks, scale, 0, seed)[:, 0].view(np.int64), return_counts=True) for k in range(tables))
+        if sum(len(c) for c, _ in found) > 1 << 20:
+            yield from rows()
+    if found:
+        yield from rows()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], table: int, plans: dict[int, tuple], large: dict[int, int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, asks, dim, records) of the nodes' entries in one table: each in its own cell, where it is held, in the other blocks of that cell, if it is large, and in the cells it probes."""
+    big = np.array(sorted(large), np.int64)
+    for key, rep, n, x in _gathered(batches):
+        dim = x.shape[1]
+        blocks, scale, tables, probes, seed = plans[dim]
+        if table >= tables:
+            continue
+        every = cells(x.astype(np.float64), table, blocks, scale, probes, seed)
+        rows, code, asks, probing = [], [], [], []
+        for p in range(every.shape[1]):
+            cell = every[:, p]
+            parts = np.ones(len(cell), np.int64)
+            if len(big):
+                for c in np.intersect1d(cell.view(np.int64), big):
+                    parts[cell.view(np.int64) == c] = large[int(c)]
+            home = key % parts
+            for b in range(int(parts.max())):
+                here = np.flatnonzero(parts > b)
+                rows.append(here)
+                code.append(H.join_hashes([cell[here], np.full(len(here), b, np.uint64)]))
+                asks.append((home[here] != b) | (p > 0))
+                probing.append(np.full(len(here), p > 0))
+        rows, code, asks, probing = (np.concatenate(v) for v in (rows, code, asks, probing))
+        place = (code % np.uint64(buckets)).astype(np.int64) * 2 + asks
+        order = np.argsort(place, kind="stable")
+        rows, place = rows[order], place[order]
+        records = np.empty(len(rows), _record(dim))
+        records["code"], records["probes"] = code[order], probing[order]
+        for name, column in (("key", key), ("rep", rep), ("n", n), ("x", x)):
+            records[name] = column[rows]
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        starts = np.concatenate([np.arange(lo, hi, PACKED) for lo, hi in zip([0, *cuts], [*cuts, len(place)])])
+        data = [records[lo:hi].tobytes() for lo, hi in zip(starts, [*starts[1:], len(place)])]
+        for k in range(0, len(data), 256):
+            at = place[starts[k : k + 256]]
+            yield pa.RecordBatch.from_arrays([pa.array((at // 2).astype(np.int32)), pa.array((at % 2).astype(np.int8)), pa.array(np.full(len(at), dim, np.int32)), pa.array(data[k : k + 256], pa.binary())], ["bucket", "asks", "dim", "records"])
+
+
+def _cells_of(x: np.ndarray, at: np.ndarray, table: int, how: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The cells in ``table`` of the vectors that ``at`` names, each found once, and the row of each of ``at`` among them."""
+    there = np.zeros(len(x), bool)
+    there[at] = True
+    blocks, scale, _, probes, seed = how
+    return cells(x[there].astype(np.float64), table, blocks, scale, probes, seed), (np.cumsum(there) - 1)[at]
 
 
-def _met(q: np.ndarray, h: np.ndarray, table: int, how: tuple, probing: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which of the pairs (q, h) of unit vectors that met in ``table`` are to count: those that met in no table before; and of two that both ask for the other's cell, the one that asks ``first``."""
-    blocks, scale, _, probes, seed = how
-    fresh = np.ones(len(q), bool)
+def _first_met(xa: np.ndarray, i: np.ndarray, xb: np.ndarray, j: np.ndarray, table: int, how: tuple, probing: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which of the pairs of xa[i] and xb[j] that met in ``table`` are to count: those that met in no table before; and of two that both ask for the other's cell, the one that asks ``first``."""
+    left = np.arange(len(i))
     for t in range(table + 1):
-        a, b = cells(q.astype(np.float64), t, blocks, scale, probes, seed), cells(h.astype(np.float64), t, blocks, scale, probes, seed)
-        same, a_asks, b_asks = a[:, 0] == b[:, 0], (a[:, 1:] == b[:, :1]).any(1), (b[:, 1:] == a[:, :1]).any(1)
-        fresh &= ~(probing & ~first & b_asks) if t == table else ~(same | a_asks | b_asks)
-    return fresh
+        if not len(left) or t == table and not probing[left].any():
+            break
+        (a, p), (b, q) = _cells_of(xa, i[left], t, how), _cells_of(xb, j[left], t, how)
+        own_a, own_b = a[p, 0], b[q, 0]
+        b_asks = np.zeros(len(left), bool)
+        for k in range(1, b.shape[1]):
+            b_asks |= b[q, k] == own_a
+        if t == table:
+            left = left[~(probing[left] & ~first[left] & b_asks)]
+        else:
+            met = b_asks | (own_a == own_b)
+            for k in range(1, a.shape[1]):
+                met |= a[p, k] == own_b
+            left = left[~met]
+    return left
+
+
+def _linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that links (a, b) connect each one with."""
+    least = np.arange(n)
+    while True:
+        la, lb = least[a], least[b]
+        apart = la != lb
+        if not apart.any():
+            return least
+        a, b = a[apart], b[apart]
+        np.minimum.at(least, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+        while (least != (above := least[least])).any():
+            least = above
+
+
+class _Bucket:
+    """The nodes of one dimension that are held in the cells of one bucket, sorted by cell; asked by others and by themselves, it says which are near."""
+
+    def __init__(self, records: np.ndarray, table: int, how: tuple, threshold: float):
+        self.table, self.how, self.threshold = table, how, threshold
+        self.records, self.x, self.at = self._sorted(records)
+        self.codes = self.records["code"][self.at[:-1]]
+
+    def _sorted(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(records["code"], kind="stable")
+        x, records = records["x"][order], records[["code", "key", "rep", "n", "probes"]][order]
+        return records, x, np.concatenate([[0], np.flatnonzero(records["code"][1:] != records["code"][:-1]) + 1, [len(records)]])
+
+    def themselves(self) -> Iterator[pa.RecordBatch]:
+        def tiles():
+            for lo, hi in zip(self.at[:-1], self.at[1:]):
+                if hi - lo > 1:
+                    step = max(1, TILE // (hi - lo))
+                    for k in range(lo, hi, step):
+                        yield k, min(k + step, hi), k, hi
+
+        yield from self._near(self.records, self.x, tiles(), True)
+
+    def asked(self, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records, x, at = self._sorted(records)
+        code = records["code"][at[:-1]]
+        there = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+
+        def tiles():
+            for g in np.flatnonzero(self.codes[there] == code):
+                lo, hi = self.at[there[g]], self.at[there[g] + 1]
+                step = max(1, TILE // (hi - lo))
+                for k in range(at[g], at[g + 1], step):
+                    yield k, min(k + step, at[g + 1]), lo, hi
+
+        yield from self._near(records, x, tiles(), False)
+
+    def _near(self, records: np.ndarray, x: np.ndarray, tiles: Iterator[tuple], same: bool) -> Iterator[pa.RecordBatch]:
+        i, j, size = [], [], 0
+        for a, b, lo, hi in tiles:
+            s = (x[a:b] @ self.x[lo:hi].T).ravel()
+            found = np.flatnonzero(s >= self.threshold - 1e-5)
+            if same and len(found) == b - a:  # each with itself
+                continue
+            p, q = np.divmod(found, hi - lo)
+            p, q, s = p + a, q + lo, s[found]
+            keep = q > p if same else records["key"][p] != self.records["key"][q]
+            unsure = np.flatnonzero(keep & (s < self.threshold + 1e-5))
+            if len(unsure):
+                u, v = x[p[unsure]].astype(np.float64), self.x[q[unsure]].astype(np.float64)
+                keep[unsure] = np.einsum("ij,ij->i", u, v) / np.sqrt((u * u).sum(1) * (v * v).sum(1)) >= self.threshold - 1e-9
+            i.append(p[keep])
+            j.append(q[keep])
+            size += len(i[-1])
+            if size >= PAIRS:
+                yield from self._counted(records, x, np.concatenate(i), np.concatenate(j), same)
+                i, j, size = [], [], 0
+        if size:
+            yield from self._counted(records, x, np.concatenate(i), np.concatenate(j), same)
+
+    def _counted(self, records: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        """(key, links, rep, root) of the nodes of the pairs that are to count. A node that asks in another block of its own cell is asked back there, so it alone is counted here."""
+        mine = self.records
+        probing = records["probes"][i] != 0
+        new = _first_met(x, i, self.x, j, self.table, self.how, probing, records["key"][i] < mine["key"][j])
+        i, j, probing = i[new], j[new], probing[new]
+        if not len(i):
+            return
+        shift = 0 if same else len(mine)
+        nodes, at = np.unique(np.concatenate([i + shift, j]), return_inverse=True)
+        a, b = at[: len(i)], at[len(i) :]
+        every = mine if same else np.concatenate([mine, records])
+        links = np.bincount(a, weights=mine["n"][j], minlength=len(nodes)) + np.bincount(b, weights=records["n"][i] * (probing | same), minlength=len(nodes))
+        rep = every["rep"][nodes]
+        yield pa.RecordBatch.from_arrays([pa.array(every["key"][nodes]), pa.array(links.astype(np.int64)), pa.array(rep), pa.array(rep[_linked(a, b, len(nodes))])], ["key", "links", "rep", "root"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], table: int, plans: dict[int, tuple], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(key, links, rep, root) of the nodes that have links in a cell, from entries sorted by cell, block, role and key."""
-    cell, held, asking = None, [], []
-    state: dict = {}
-
-    def open_held() -> None:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        key, rep, n = t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy()
-        x = next(_matrices(t.column("vector")))[1]  # a cell has vectors of one dimension
-        state.update(key=key, rep=rep, n=n, x=x, links=np.zeros(len(key), np.int64), forest=_Forest(len(key)), out=[])
-        ask(key, rep, n, x, np.zeros(len(key), bool))
-
-    def ask(key: np.ndarray, rep: np.ndarray, n: np.ndarray, x: np.ndarray, probing: np.ndarray) -> None:
-        how, step = plans[x.shape[1]], max(1, (1 << 22) // len(state["key"]))
-        for lo in range(0, len(key), step):
-            s = x[lo : lo + step] @ state["x"].T
-            i, j = np.nonzero(s >= threshold - 1e-5)
-            sure = s[i, j]
-            i = i + lo
-            keep = key[i] != state["key"][j]
-            i, j, sure = i[keep], j[keep], sure[keep]
-            near = np.flatnonzero(sure < threshold + 1e-5)
-            exact = np.ones(len(i), bool)
-            if len(near):
-                a, b = x[i[near]].astype(np.float64), state["x"][j[near]].astype(np.float64)
-                exact[near] = np.einsum("ij,ij->i", a, b) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= threshold - 1e-9
-            i, j = i[exact], j[exact]
-            once = np.zeros(len(i), bool)
-            for k in range(0, len(i), 1 << 14):
-                part = slice(k, k + (1 << 14))
-                if table or probing[i[part]].any():
-                    once[part] = _met(x[i[part]], state["x"][j[part]], table, how, probing[i[part]], key[i[part]] < state["key"][j[part]])
-                else:
-                    once[part] = True
-            i, j = i[once], j[once]
-            if not len(i):
-                continue
-            links = np.bincount(i - lo, weights=state["n"][j], minlength=min(step, len(key) - lo)).astype(np.int64)
-            asked = probing[i]
-            np.add.at(state["links"], j[asked], n[i[asked]])
-            ends = np.flatnonzero(np.diff(i, append=-1)) + 1
-            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
-                state["forest"].join(j[a:b])
-            firsts = np.flatnonzero(np.diff(i, prepend=-1))
-            state["out"].append((key[i[firsts]], links[i[firsts] - lo], rep[i[firsts]], j[firsts]))
+    """(key, links, rep, root) of the nodes that have links in a bucket's cells, from packed entries sorted by bucket, those that are held first; a node may come several times."""
+    held: dict[int, list[np.ndarray]] = {}
+    asking: dict[int, list[np.ndarray]] = {}
+    opened: dict[int, _Bucket] = {}
+
+    def settle(dim: int) -> Iterator[pa.RecordBatch]:
+        if dim in held:
+            opened[dim] = _Bucket(np.concatenate(held.pop(dim)), table, plans[dim], threshold)
+            yield from opened[dim].themselves()
+        if dim in asking and dim in opened:
+            yield from opened[dim].asked(np.concatenate(asking[dim]))
+        asking.pop(dim, None)
 
     def close() -> Iterator[pa.RecordBatch]:
-        if not state:
-            return
-        mine = np.flatnonzero(state["links"])
-        state["out"].append((state["key"][mine], state["links"][mine], state["rep"][mine], mine))
-        for key, links, rep, at in state["out"]:
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(links), pa.array(rep), pa.array(state["rep"][state["forest"].roots(at)])], ["key", "links", "rep", "root"])
-        state.clear()
-
-    def flush() -> None:
-        if not state:
-            if not held:
-                return
-            open_held()
-            held.clear()
-        for t in asking:
-            at, x = next(_matrices(t.column("vector")))
-            ask(t.column("key").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy(), x, t.column("role").to_numpy() == PROBE_ROLE)
-        asking.clear()
+        for dim in sorted({*held, *asking}):
+            yield from settle(dim)
+        opened.clear()
 
+    bucket = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        at, block, role = (batch.column(k).to_numpy() for k in range(3))
-        change = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
-        cuts = np.flatnonzero(change | (role[1:] != role[:-1])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(at)]):
-            if cell != (at[lo], block[lo]):
-                flush()
+        for at, asks, dim, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if at != bucket:
                 yield from close()
-                held.clear()
-                asking.clear()
-                cell = at[lo], block[lo]
-            if role[lo] == HELD_ROLE:
-                held.append(batch.slice(lo, hi - lo))
-            else:
-                asking.append(batch.slice(lo, hi - lo))
-                if held or state:
-                    flush()
-                else:  # nothing is held here
-                    asking.clear()
-    flush()
+                bucket = at
+            (asking if asks else held).setdefault(dim, []).append(np.frombuffer(data, _record(dim)))
+            if asks and sum(map(len, asking[dim])) >= HELD:
+                yield from settle(dim)
     yield from close()
 
 
@@ -313,53 +490,17 @@ def near_classes(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
     sizes = nodes.groupBy((F.length("vector") / 4).cast("int").alias("dim")).count().collect()  # a row for each dimension
     plans = {r["dim"]: (*plan(r["dim"], r["count"], threshold, probes, recall, seed), probes, seed) for r in sizes}
     tables = max([0, *(p[2] for p in plans.values())])
+    total_nodes = sum(r["count"] for r in sizes)
     large: dict[int, int] = {}
-    if sum(r["count"] for r in sizes) > HELD:
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, x in _matrices(batch.column(0)):
-                    blocks, scale, t, _, _ = plans[x.shape[1]]
-                    for k in range(t):
-                        c, n = np.unique(cells(x.astype(np.float64), k, blocks, scale, 0, seed)[:, 0].view(np.int64), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["cell", "n"])
-
-        counts = nodes.select("vector").mapInArrow(own, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    if total_nodes > HELD:
+        counts = nodes.select("key", "rep", "n", "vector").mapInArrow(lambda batches: _counted(batches, plans), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         large = {r["cell"]: -(-r["n"] // HELD) for r in counts.where(F.col("n") > HELD).collect()}  # at most tables * nodes / HELD
-
-    names = ["cell", "block", "role", "key", "rep", "n", "vector"]
-
-    def entries_of(table: int):
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            big = np.array(sorted(large), np.int64)
-            for batch in batches:
-                for at, x in _matrices(batch.column(3)):
-                    blocks, scale, t, _, _ = plans[x.shape[1]]
-                    if table >= t:
-                        continue
-                    rows = batch.take(pa.array(at)) if len(at) < batch.num_rows else batch
-                    key = rows.column(0).to_numpy()
-                    every = cells(x.astype(np.float64), table, blocks, scale, probes, seed).view(np.int64)
-                    for p in range(every.shape[1]):
-                        cell = every[:, p]
-                        parts = np.ones(len(cell), np.int64)
-                        if len(big):
-                            for c in np.intersect1d(cell, big):
-                                parts[cell == c] = large[int(c)]
-                        home = key % parts
-                        for b in range(int(parts.max())):
-                            here = np.flatnonzero(parts > b)
-                            role = np.where(p > 0, PROBE_ROLE, np.where(home[here] == b, HELD_ROLE, OWN_ROLE)).astype(np.int8)
-                            some = rows.take(pa.array(here)) if len(here) < len(cell) else rows
-                            yield pa.RecordBatch.from_arrays([pa.array(cell[here]), pa.array(np.full(len(here), b, np.int32)), pa.array(role), *some.columns], names)
-
-        return entries
-
+    buckets = max(1, -(-total_nodes // GATHER))
     found = []
     for t in range(tables):
-        entries = nodes.select("key", "rep", "n", "vector").mapInArrow(entries_of(t), "cell long, block int, role byte, key long, rep long, n long, vector binary")
-        by = entries.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
-        found.append(written(by.mapInArrow(lambda batches, t=t: _meet(batches, t, plans, threshold), "key long, links long, rep long, root long"), "lattice-found"))
+        entries = nodes.select("key", "rep", "n", "vector").mapInArrow(lambda batches, t=t: _packed(batches, t, plans, large, buckets), "bucket int, asks byte, dim int, records binary")
+        by = entries.repartition("bucket").sortWithinPartitions("bucket", "asks")
+        found.append(written(by.mapInArrow(lambda batches, t=t: _meet(batches, t, plans, threshold), "key long, links long, rep long, root long"), "lattice-found", {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}))
     ids = written(made.select("vec_id", "key"), "lattice-ids")
     total = ids.count()
     links = nodes.select("key", "rep", "n", F.lit(0).cast("long").alias("links"))

@@ -102,6 +102,34 @@ def test_a_plan_meets_its_recall_at_any_size():
     assert N.plan(64, 1)[2] == N.plan(1, 100)[2] == 0
 
 
+def test_the_work_on_large_inputs(monkeypatch):
+    """Entries travel packed, cells are found once for each vector rather than for each pair, and 6 GB of vectors need few tables."""
+    import pyarrow as pa
+
+    assert N.plan(64, 14_800_000)[2] <= 6
+    x = vectors(5, 1500, 2, 0.1, 64).astype(np.float64)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    numbers = pa.array(np.arange(len(x)))
+    nodes = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(np.ones(len(x), np.int64)), N._rows_of_bytes(x)], ["key", "rep", "n", "vector"])
+    plans, made, got = {64: (2, 2.4, 6, N.PROBES, N.SEED)}, [0], np.zeros(len(x), np.int64)
+    cells = N.cells
+    monkeypatch.setattr(N, "cells", lambda x, *how: made.__setitem__(0, made[0] + len(x)) or cells(x, *how))
+    for t in range(6):
+        packed = pa.Table.from_batches(N._packed(iter([nodes]), t, plans, {}, 2))
+        assert packed.num_rows <= 12
+        for found in N._meet(iter(packed.sort_by([("bucket", "ascending"), ("asks", "ascending")]).to_batches()), t, plans, 0.95):
+            np.add.at(got, found.column(0).to_numpy(), found.column(1).to_numpy())
+    want = brute(x, 0.95)[0]
+    assert want.sum() > 100_000 and (got <= want).all() and got.sum() >= 0.97 * want.sum()
+    assert made[0] < 60 * len(x) < want.sum() / 2
+
+
+def test_a_probed_cell_is_the_nearest_of_all():
+    x = np.random.default_rng(7).standard_normal((500, 24))
+    for blocks, scale in ((1, 1.4), (2, 2.4), (3, 2.8)):
+        assert (N.cells(x, 2, blocks, scale, 1) == N.cells(x, 2, blocks, scale, 3)[:, :2]).all()
+
+
 def test_odd_vectors_and_repeats(spark):
     a, b = [1.0, 2.0, 3.0], [-1.0, 0.5, 0.0]
     nan = float("nan")
