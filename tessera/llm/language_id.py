@@ -3,7 +3,8 @@
 Linear support vector machines on hashed byte bigrams and trigrams decide between families of languages first, pair
 by pair, and then, pair by pair, between the languages of the winning family. Whether a text is in the language found at all is told by how
 likely its n-grams are in the likeliest of the languages: it is rejected below a floor that stretches of held-out texts of its length stay above, however short it is.
-All this is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); everything else covers every byte of every text.
+All this is fitted on every labelled row. A hash of each row says whether it is for fitting or for the floors. Gram counts and floors are those of all rows of their half; a machine is
+the mean, by rows, of machines fitted on shards that together hold all rows of the other half, whatever the partitions. Every byte of every text is read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from tessera.llm import _hashing as H
 
 FAMILIES: dict[str, tuple[str, ...]] = {"germanic": ("de", "en"), "romance": ("es", "fr")}
-#: Labelled rows that the machines are fitted on, half for fitting and half for calibration; the only bound here.
+#: About as many rows are fitted together, in one shard; there are as many shards as all rows take up.
 TRAIN_ROWS = 1600
+#: What weights are multiplied by when they are summed as integers, so that the order of shards doesn't matter; steps of likelihoods of stretches when these are counted; partial sums that the driver gets.
+FIXED, STEPS, PARTS = 2.0**20, 1 << 10, 8
 BITS = 13
 #: Share of held-out stretches of each length that stay above the floor, how far below them it lies, and these lengths in grams, from 8 to 8192.
 KEEP, SLACK, LENGTHS = 0.998, 0.5, 2 ** np.arange(3, 14)
@@ -93,12 +96,21 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _counts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """How many grams of each text have each hash cell."""
+    x, at = _folded(texts)
+    for i in range(len(texts)):
+        n = np.zeros(1 << BITS, np.int64)
+        for lo in range(at[i], at[i + 1], SLICE):
+            for cells in _cells(x, at[i : i + 2], lo, min(lo + SLICE, at[i + 1])):
+                n += np.bincount(cells, minlength=(1 << BITS) + 1)[:-1]
+        yield n
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """Relative frequencies of the hash cells, a row for each text."""
-    two, three, at = _grams(texts)
     out = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-    for i in range(len(texts)):
-        n = np.bincount(np.concatenate([two[at[i] : at[i + 1]], three[at[i] : at[i + 1]]]), minlength=(1 << BITS) + 1)[:-1]
+    for i, n in enumerate(_counts(texts)):
         out[i] = n / max(1, n.sum())
     return out
 
@@ -145,22 +157,42 @@ def floor_at(n: np.ndarray, model: Model) -> np.ndarray:
     return np.interp(np.log(np.maximum(n, 1)), np.log(LENGTHS), model.floors)
 
 
-def _floors(texts: pa.Array, model: Model) -> np.ndarray:
-    """For each of LENGTHS the floor under STRETCHES stretches of each text, or the whole of a shorter one; longer stretches never have a lower one."""
-    two, three, at = _grams(texts)
-    found: list[list[float]] = [[] for _ in LENGTHS]
-    none = 1 << BITS
+def _stretches(texts: pa.Array, model: Model) -> list[np.ndarray]:
+    """For each of LENGTHS the likelihoods of STRETCHES stretches of each text, or the whole of a shorter one. Long texts are read in slices."""
+    x, at = _folded(texts)
+    found: list[list[np.ndarray]] = [[] for _ in LENGTHS]
+    weights = model.weights[:, len(model.pairs) :]
     for i in range(len(texts)):
-        grams = np.stack([two[at[i] : at[i + 1]], three[at[i] : at[i + 1]]], axis=1).ravel()
-        grams = grams[grams != none]
-        sums = np.cumsum(np.concatenate([np.zeros((1, len(languages(model)))), model.weights[grams, len(model.pairs) :]]), axis=0)
-        for k, length in enumerate(LENGTHS):
-            if len(grams) >= length // 2:
-                size = min(length, len(grams))
-                start = np.linspace(0, len(grams) - size, STRETCHES).astype(int)
-                found[k].extend((sums[start + size] - sums[start]).max(1) / size)
-    low = np.array([np.quantile(x, 1 - KEEP) if x else -np.inf for x in found])
-    return np.maximum.accumulate(np.where(np.isfinite(low), low, low[np.isfinite(low)].min(initial=0.0) if np.isfinite(low).any() else -1e9) - SLACK)
+        n = max(0, 2 * (at[i + 1] - at[i]) - 3)
+        ways = [(k, min(length, n)) for k, length in enumerate(LENGTHS) if n and n >= length // 2]
+        if not ways:
+            continue
+        starts = np.stack([np.linspace(0, n - size, STRETCHES).astype(int) for _, size in ways])
+        ends = starts + np.array([size for _, size in ways])[:, None]
+        places, where = np.unique(np.stack([starts, ends]), return_inverse=True)
+        sums, before = np.zeros((len(places), weights.shape[1])), np.zeros(weights.shape[1])
+        for lo in range(at[i], at[i + 1], SLICE):
+            grams = np.stack(_cells(x, at[i : i + 2], lo, min(lo + SLICE, at[i + 1])), axis=1).ravel()
+            total = np.cumsum(np.concatenate([before[None], weights[grams]]), axis=0, dtype=np.float64)
+            first = 2 * (lo - at[i])
+            here = (places >= first) & (places <= first + len(grams))
+            sums[here] = total[places[here] - first]
+            before = total[-1]
+        a, b = sums[where.reshape(2, len(ways), STRETCHES)]
+        for (k, size), likely in zip(ways, (b - a).max(2)):
+            found[k].append(likely / size)
+    return [np.concatenate(f) if f else np.zeros(0) for f in found]
+
+
+def _above(low: np.ndarray) -> np.ndarray:
+    """The floors, from the least likelihoods that are to stay above them (-inf where there are none): longer stretches never have a lower one."""
+    some = np.isfinite(low)
+    return np.maximum.accumulate(np.where(some, low, low[some].min(initial=0.0) if some.any() else -1e9) - SLACK)
+
+
+def _floors(texts: pa.Array, model: Model) -> np.ndarray:
+    """For each of LENGTHS the floor under the stretches of the texts."""
+    return _above(np.array([np.quantile(v, 1 - KEEP) if len(v) else -np.inf for v in _stretches(texts, model)]))
 
 
 def decide(values: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,45 +223,109 @@ def decide(values: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return np.array(names, dtype=object)[which], language, margin
 
 
-def fit(texts: pa.Array, languages: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """The machines and probabilities from the even rows; the floors of the rejection from the odd ones."""
+def _contests(families: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """What each machine tells apart: pairs of families, then pairs of languages in a family."""
+    return [*combinations(sorted(families), 2), *(p for f in sorted(families) for p in combinations(sorted(families[f]), 2))]
+
+
+def _shard(texts: pa.Array, languages: list[str], families: dict[str, tuple[str, ...]]) -> tuple[list[tuple[np.ndarray, float, int]], list[np.ndarray]]:
+    """(weights, bias, rows) of each machine fitted on these rows, and the gram counts of each language by name."""
     x, lang = features(texts), np.array(languages, dtype=object)
     of = {m: f for f, members in families.items() for m in members}
     fam = np.array([of[v] for v in lang], dtype=object)
-    train = np.arange(len(lang)) % 2 == 0
-    rows = [(p, fam) for p in combinations(sorted(families), 2)] + [(p, lang) for f in sorted(families) for p in combinations(sorted(families[f]), 2)]
-    known = sorted(of)
-    weights, bias, pairs = np.zeros(((1 << BITS) + 1, len(rows) + len(known)), np.float32), np.zeros(len(rows)), []
-    for k, (pair, names) in enumerate(rows):
-        use = train & ((names == pair[0]) | (names == pair[1]))
-        pairs.append(pair)
-        if use.any():
-            weights[:-1, k], bias[k] = fit_svm(x[use], np.where(names[use] == pair[0], 1.0, -1.0))
-    for k, m in enumerate(known):
-        two, three, _ = _grams(texts.filter(pa.array(train & (lang == m))))
-        n = np.bincount(np.concatenate([two, three]), minlength=(1 << BITS) + 1)[:-1] + 0.5
-        weights[:-1, len(rows) + k] = np.log(n / n.sum())
-    model = Model(weights, bias, pairs, {f: tuple(m) for f, m in families.items()}, np.full(len(LENGTHS), -1e9))
-    held = np.flatnonzero(~train)
-    if len(held):
-        model.floors = _floors(texts.take(pa.array(held)), model)
+    machines = []
+    for k, pair in enumerate(_contests(families)):
+        names = fam if pair[0] in families and k < len(families) * (len(families) - 1) // 2 else lang
+        use = (names == pair[0]) | (names == pair[1])
+        machines.append((*(fit_svm(x[use], np.where(names[use] == pair[0], 1.0, -1.0)) if use.any() else (np.zeros(1 << BITS, np.float32), 0.0)), int(use.sum())))
+    return machines, [sum(_counts(texts.filter(pa.array(lang == m))), np.zeros(1 << BITS, np.int64)) for m in sorted(of)]
+
+
+def _model(machines: list[tuple[np.ndarray, float]], counts: list[np.ndarray], families: dict[str, tuple[str, ...]]) -> Model:
+    weights = np.zeros(((1 << BITS) + 1, len(machines) + len(counts)), np.float32)
+    for k, (w, _) in enumerate(machines):
+        weights[:-1, k] = w
+    for k, n in enumerate(counts):
+        weights[:-1, len(machines) + k] = np.log((n + 0.5) / (n + 0.5).sum())
+    return Model(weights, np.array([b for _, b in machines], dtype=float), _contests(families), {f: tuple(m) for f, m in families.items()}, np.full(len(LENGTHS), -1e9))
+
+
+def fit(texts: pa.Array, languages: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+    """The machines and probabilities from the even rows, as one shard; the floors of the rejection from the odd ones."""
+    machines, counts = _shard(texts.take(pa.array(np.arange(0, len(texts), 2))), languages[::2], families)
+    model = _model([m[:2] for m in machines], counts, families)
+    if len(texts) > 1:
+        model.floors = _floors(texts.take(pa.array(np.arange(1, len(texts), 2))), model)
     return model
 
 
+def _labelled(docs: DataFrame, families: dict[str, tuple[str, ...]]) -> DataFrame:
+    return docs.where(F.col("lang").isin([m for members in families.values() for m in members]) & F.col("text").isNotNull())
+
+
 def sample(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, rows: int = TRAIN_ROWS) -> pa.Table:
-    """(text, lang) of the ``rows`` labelled rows whose ids hash lowest: the same ones whatever the partitions."""
-    known = [m for members in families.values() for m in members]
+    """(text, lang) of the ``rows`` labelled rows whose ids hash lowest: the same ones whatever the partitions. For a look at the rows; nothing is fitted on it."""
     order = F.xxhash64(F.lit(17), "doc_id")
-    labelled = docs.where(F.col("lang").isin(known) & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    last = labelled.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
-    return labelled.where(order <= last).select(order.alias("h"), "text", "lang").orderBy("h", "text").limit(rows).select("text", "lang").toArrow()
+    labelled = _labelled(docs, families).where("doc_id is not null")
+    return labelled.select(order.alias("h"), "text", "lang").orderBy("h", "text").limit(rows).select("text", "lang").toArrow()
 
 
 def trained(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, rows: int = TRAIN_ROWS) -> Model:
-    t = sample(docs, families, rows)
-    return fit(t["text"].combine_chunks(), t["lang"].to_pylist(), families)
+    """The model of all labelled rows, null ids and repeated rows included, in shards of about ``rows``. Texts go to a half and a shard by their hashes, so equal ones stay together."""
+    spark = docs.sparkSession
+    labelled = _labelled(docs, families).select("text", "lang", F.xxhash64(F.lit(17), "text", "lang").alias("h"))
+    fitting = labelled.where("h % 2 = 0")
+    shards = -(-fitting.count() // rows)
+    n_machines, n = len(_contests(families)), sum(map(len, families.values()))
+    if not shards:
+        machines, counts = [(np.zeros(1 << BITS), 0.0)] * n_machines, [np.zeros(1 << BITS, np.int64)] * n
+    else:
+
+        def fitted(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+            texts = table["text"].combine_chunks()
+            made, counted = _shard(texts, table["lang"].to_pylist(), families)
+            sums = [np.rint(np.append(w.astype(np.float64), b) * FIXED).astype(np.int64) * k for w, b, k in made] + [np.append(c, 0) for c in counted]
+            return pa.table({"k": pa.array(range(len(sums)), pa.int32()), "rows": pa.array([m[2] for m in made] + [0] * len(counted), pa.int64()), "sums": pa.array([v.tobytes() for v in sums], pa.binary())})
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list] = {}
+            for batch in batches:
+                for k, m, v in zip(*(c.to_pylist() for c in batch.columns)):
+                    mine = total.setdefault(k, [0, np.zeros((1 << BITS) + 1, np.int64)])
+                    mine[0] += m
+                    mine[1] += np.frombuffer(v, np.int64)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m for m, _ in total.values()], pa.int64()), pa.array([v.tobytes() for _, v in total.values()], pa.binary())], ["k", "rows", "sums"])
+
+        schema = "k int, rows long, sums binary"
+        parts = fitting.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(fitted, schema).repartition(PARTS).mapInArrow(added, schema).toArrow()
+        total = {r["k"]: (r["rows"], np.frombuffer(r["sums"], np.int64)) for b in added(iter(parts.to_batches())) for r in b.to_pylist()}  # a few times PARTS rows at most
+        mean = [total[k][1] / (FIXED * max(1, total[k][0])) for k in range(n_machines)]
+        machines, counts = [(w[:-1], float(w[-1])) for w in mean], [total[n_machines + k][1][:-1] for k in range(n)]
+    model = _model(machines, counts, families)
+    shared = spark.sparkContext.broadcast(model)
+
+    def stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(LENGTHS)
+        for batch in batches:
+            for _, part in H.pieces(batch.column(0), 1 << 21):
+                for k, v in enumerate(_stretches(part, shared.value)):
+                    step, at = np.unique(np.concatenate([seen[k][0], np.floor(v * STEPS).astype(np.int64)]), return_inverse=True)
+                    seen[k] = step, np.bincount(at, weights=np.concatenate([seen[k][1], np.ones(len(v))]), minlength=len(step)).astype(np.int64)
+        for k, (step, count) in enumerate(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), k, np.int32)), pa.array(step), pa.array(count)], ["k", "step", "n"])
+
+    found = labelled.where("h % 2 != 0").select("text").mapInArrow(stretched, "k int, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).toArrow().sort_by([("k", "ascending"), ("step", "ascending")])
+    k, step, count = (found[c].to_numpy() for c in ("k", "step", "n"))
+    if len(k):
+        low = np.full(len(LENGTHS), -np.inf)
+        for length in np.unique(k):
+            upto = np.cumsum(count[k == length])
+            low[length] = step[k == length][np.searchsorted(upto, (1 - KEEP) * (upto[-1] - 1), "right")] / STEPS
+        model.floors = _above(low)
+    shared.unpersist()
+    return model
 
 
 def judged(texts: pa.Array, model: Model) -> list[pa.Array]:
