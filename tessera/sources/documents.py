@@ -40,12 +40,40 @@ def rows_of(path: str, data: bytes, form: str, keys: Sequence[str] | None) -> It
         yield path, None, None, None, None, str(e)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], form: str, keys: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.int32(), *[pa.string()] * 4]
+#: Bytes, about, after which converted documents or parsed rows leave Python. What comes in is a batch of Spark's, which may hold 10,000 documents.
+SLICE_BYTES = 1 << 20
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes | None]]:
+    """Path and content, file by file; no more than one content is outside its batch."""
     for batch in batches:
         for path, data in zip(batch.column(0), batch.column(1)):
-            rows = list(rows_of(path.as_py() or "", data.as_py() or b"", form, keys))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], NAMES)
+            yield path.as_py(), data.as_py()
+        # Else they hold this batch while the next is read.
+        batch = path = data = None
+
+
+def _sliced(rows: Iterator[tuple], names: Sequence[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE_BYTES, or of one row that is larger."""
+    columns: list[list] = [[] for _ in names]
+    size = 0
+    for row in rows:
+        for column, v in zip(columns, row):
+            column.append(v)
+            size += len(v) if isinstance(v, (str, bytes)) else 8
+        row = v = None
+        if size >= SLICE_BYTES:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            columns, size = [[] for _ in names], 0
+            yield made
+            made = None
+    if columns[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], form: str, keys: Sequence[str] | None) -> Iterator[pa.RecordBatch]:
+    rows = (row for path, data in _cells(batches) for row in rows_of(path or "", data or b"", form, keys))
+    return _sliced(rows, NAMES, [pa.string(), pa.int32(), *[pa.string()] * 4])
 
 
 def parsed(files: DataFrame, form: str, keys: Sequence[str] | None = None) -> DataFrame:
@@ -91,18 +119,17 @@ def read(data: bytes, form: str) -> Document:
 def converted(files: DataFrame, source: str, target: str, with_inference: bool = False) -> DataFrame:
     """(path, content, error) in another form. Forms are text, compact, binary, json and compact json; a null content stays null."""
 
+    def one(data: bytes | None) -> tuple[bytes | None, str | None]:
+        try:
+            if data is None:
+                return None, None
+            doc = read(data, source)
+            return CONVERT[target](infer(doc) if with_inference else doc), None
+        except (FormatError, UnicodeDecodeError) as e:
+            return None, str(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made, errors = [], []
-            for data in batch.column(1).to_pylist():
-                try:
-                    doc = None if data is None else read(data, source)
-                    made.append(None if doc is None else CONVERT[target](infer(doc) if with_inference else doc))
-                    errors.append(None)
-                except (FormatError, UnicodeDecodeError) as e:
-                    made.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array(errors, pa.string())], ["path", "content", "error"])
+        return _sliced(((path, *one(data)) for path, data in _cells(batches)), ["path", "content", "error"], [pa.string(), pa.binary(), pa.string()])
 
     return files.select("path", "content").mapInArrow(run, "path string, content binary, error string")
 

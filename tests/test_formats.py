@@ -1,6 +1,8 @@
 import json
 import math
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -278,6 +280,47 @@ def test_converting_rows(spark):
         documents.parsed(files, "other")
 
 
+class Direct:
+    """Stands for a table of files: gives the function that Python's workers run on its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_of_many_documents_leaves_in_slices():
+    made = [json.dumps({"turns": [{"turn": i, "text": f"{i} " * 1500}]}).encode() for i in range(1000)]
+    made[7], made[500] = None, b"{"
+    batch = pa.record_batch([pa.array(map(str, range(1000))), pa.array(made, pa.binary())], ["path", "content"])
+    tracemalloc.start()
+    try:
+        most, out = 0, []
+        for b in documents.converted(Direct(), "json", "binary", with_inference=True)(iter([batch])):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            out.append(b)
+    finally:
+        tracemalloc.stop()
+    assert most < 3 << 20 < batch.nbytes and max(b.nbytes for b in out) < 2 << 20
+    whole = pa.Table.from_batches(out).to_pylist()
+    assert [r["path"] for r in whole] == list(map(str, range(1000)))
+    assert all(r["content"] == binary.to_binary(I.infer(from_json(d.decode()))) and r["error"] is None for r, d in zip(whole, made) if d not in (None, b"{"))
+    assert (whole[7]["content"], whole[7]["error"]) == (None, None) and whole[500]["content"] is None and "not JSON" in whole[500]["error"]
+    parsed = list(documents.parsed(Direct(), "binary", ["turns"])(iter(out)))
+    assert 1 < len(parsed) < 20 and max(b.nbytes for b in parsed) < 2 << 20
+    rows = pa.Table.from_batches(parsed).to_pylist()
+    assert [r["path"] for r in rows] == list(map(str, range(1000))) and {r["path"] for r in rows if r["error"]} == {"7", "500"}
+    assert all(json.loads(r["json"]) == json.loads(d)["turns"] for r, d in zip(rows, made) if r["error"] is None)
+
+
+def test_a_slice_is_no_smaller_than_a_row():
+    batches = [pa.record_batch([pa.array([str(i)]), pa.array([b'{"a": "' + b"x" * (n << 20) + b'", "b": 1}'])], ["path", "content"]) for i, n in enumerate((3, 0, 2))]
+    out = list(documents.parsed(Direct(), "json")(iter(batches)))
+    assert [[(r["path"], r["key"]) for r in b.to_pylist()] for b in out] == [[("0", "a")], [("0", "b"), ("1", "a"), ("1", "b"), ("2", "a")], [("2", "b")]]
+    assert list(documents.parsed(Direct(), "json", ["none"])(iter(batches))) == []
+
+
 def test_documents_from_rows(spark):
     df = spark.createDataFrame([("g", 2, "b", None), ("g", 1, "a", 0.5), ("h", 1, None, 1.0)], "k string, n int, s string, x double")
     got = {r["path"]: json.loads(r["content"]) for r in documents.from_rows(df, ["k"], "rows", ["n"]).collect()}
